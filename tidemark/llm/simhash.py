@@ -24,8 +24,7 @@ id stay, and the component's id is the smallest id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
-from itertools import combinations, islice
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +38,16 @@ from .common import Scratch, arrow_map, table, utf8
 LIST_MAX = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: The eight bits of each byte value, highest first.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def shingle_hashes(words: list[bytes], k: int, seed: int) -> Iterator[np.ndarray]:
     """XXH64 of the space-joined ``k``-word shingles, repeats included, in chunks."""
-    h = partial(xxhash.xxh64_intdigest, seed=seed)
+    h = xxhash.xxh64_intdigest
     if len(words) <= k:
-        yield np.array([h(b" ".join(words))], np.uint64)
+        yield np.array([h(b" ".join(words), seed)], np.uint64)
         return
     rest = map(b" ".join, zip(*(islice(words, i, None) for i in range(k))))
-    while len(got := np.fromiter(map(h, islice(rest, CHUNK)), np.uint64)):
+    while len(got := np.fromiter(map(h, islice(rest, CHUNK), repeat(seed)), np.uint64)):
         yield got
 
 
@@ -59,12 +56,13 @@ def fingerprint(text: bytes, k: int = 3, seed: int = 42) -> int:
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII white-space characters
     if not words:
         return 0
-    n, seen = 0, np.zeros((8, 256), np.int64)
+    n, ones = 0, np.zeros(64, np.int64)
     for hashes in shingle_hashes(words, k, seed):
-        for i, column in enumerate(hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T):
-            seen[i] += np.bincount(column, minlength=256)
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
+        for at in range(0, len(bits), 255):  # as many as a byte can count
+            ones += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
         n += len(hashes)
-    return int.from_bytes(np.packbits(2 * (seen @ BITS).ravel() > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
