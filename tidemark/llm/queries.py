@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
 from .simhash import op6_simhash
+from .token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op6_simhash,)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_simhash, op8_token_counts)}
 
 #: None of the ten is expressible in SQL at whole-table size; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {}
