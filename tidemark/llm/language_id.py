@@ -51,13 +51,11 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
-            for text, lang in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+            texts, langs = utf8(b.column(0)), b.column(1).to_pylist()
+            for lang in set(langs):
                 own = counts.setdefault(lang, np.zeros(BINS, np.int64))
-                for codes in trigram_codes(text):
-                    if len(codes) > BINS // 8:
-                        own += np.bincount(codes, minlength=BINS)
-                    else:
-                        np.add.at(own, codes, 1)
+                for codes in trigram_codes(b"  ".join(t for t, x in zip(texts, langs) if x == lang)):
+                    own += np.bincount(codes, minlength=BINS)
         for lang, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bin", "n"])

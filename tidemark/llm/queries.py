@@ -5,10 +5,11 @@ from __future__ import annotations
 from .language_id import op1_language_id
 from .media import op10_media
 from .packing import op5_packing
+from .quality import op9_quality
 from .simhash import op6_simhash
 from .token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_packing, op6_simhash, op8_token_counts, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_packing, op6_simhash, op8_token_counts, op9_quality, op10_media)}
 
 #: None of the ten is expressible in SQL at whole-table size; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {}
