@@ -150,6 +150,32 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PREDICTED)
 
 
+#: A document of which no language has this share is rejected.
+LEAST_SHARE = 0.3
+
+
+def keep_identified(docs: DataFrame, model: dict[str, np.ndarray], least: float = LEAST_SHARE) -> DataFrame:
+    """The rows of ``docs`` with a language that makes up ``least`` of the text; without a model, those with a letter."""
+    logs = np.stack(list(model.values()), axis=1) if model else np.zeros((BINS, 0))
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = shared.value
+        likelihood = np.exp(logs)
+        for b in batches:
+            keep = []
+            for text in utf8(b.column(at)):
+                ok = bool(LETTER.search(text.decode()))
+                if ok and logs.shape[1]:
+                    found = mixture(text, logs, likelihood)
+                    ok = bool(found) and found[0][1] >= least
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))

@@ -187,8 +187,8 @@ def minwise(text: bytes, k: int, factors: np.ndarray) -> bytes:
     return ((least >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> DataFrame:
-    """(doc_id, keep): one row per input row; ``keep`` on one document of each group of copies.
+def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, fp, root) of every row, and the keys of the rows that stay: one of each group of copies.
 
     Copies here are documents whose ``k``-word shingles have a similarity of
     about 0.8 or more. Sign bits cannot find those: at 0.8, 3 to 11 of 64 bits
@@ -200,26 +200,24 @@ def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> DataFrame:
     smallest one only; the other 31 lists and the components join the rest.
 
     Texts without words are copies of each other. Of a group the smallest id
-    stays; a null id counts as largest, ties go to one row by its text's hash
-    and position in the written table.
+    stays; a null id counts as largest. ``key`` is a hash of id and text.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     factors = np.random.default_rng(5).integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sketches = [minwise(t, k, factors) for t in utf8(b.column(1))]
+            sketches = [minwise(t, k, factors) for t in utf8(b.column(2))]
             fps = np.array([xxhash.xxh64_intdigest(x) for x in sketches], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "sketch"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(arrow_map(slim, run, "doc_id long, fp long, sketch binary").withColumn("row", F.monotonically_increasing_id()))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    rows = scratch.keep(arrow_map(slim, run, "doc_id long, key long, fp long, sketch binary"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     texts = scratch.keep(rows.groupBy("fp").agg(F.min(order).alias("first"), F.first("sketch").alias("sketch")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS // IN_KEY - 1)), lambda i: F.struct(i.alias("list"), F.substring("sketch", i * IN_KEY + 1, F.lit(IN_KEY)).alias("key")))
     postings = scratch.keep(texts.select("fp", F.explode(keys).alias("e")).select("e.list", "e.key", "fp"))
-    sizes = postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u")).where("n > 1")
-    sizes = scratch.keep(sizes)
+    sizes = scratch.keep(postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u")).where("n > 1"))
     few = postings.join(sizes.where(F.col("n") <= LIST_MAX).select("list", "key"), ["list", "key"], "left_semi")
     pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["list", "key"]).where("u < v").select("u", "v")
     stars = postings.join(sizes.where(F.col("n") > LIST_MAX), ["list", "key"]).where("u < fp").select("u", F.col("fp").alias("v"))
@@ -234,9 +232,24 @@ def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> DataFrame:
 
     linked = arrow_map(both.select("u", "v", "a", "b"), tally, "u long, v long")
     roots = components(linked, scratch)
-    rooted = texts.join(roots, texts.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("keep"))
-    return rows.select("doc_id", "row").join(kept, "row", "left").select("doc_id", F.coalesce("keep", F.lit(False)).alias("keep"))
+    rooted = scratch.keep(texts.join(roots, texts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    return rows.select("doc_id", "key", "fp").join(rooted.select("fp", "root"), "fp"), scratch.keep(kept)
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, shared: int = SHARED) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group of near copies does."""
+    rows, kept = near_copies(docs, k, shared)
+    name = next(f"row_key{i}" for i in range(len(docs.columns) + 1) if f"row_key{i}" not in docs.columns)
+    mine = docs.withColumn(name, row_key()).join(kept.withColumnRenamed("key", name), name, "left_semi")
+    again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(kept, "key", "left_semi").select(F.col("key").alias(name))
+    if again.take(1):  # rows that repeat id and text
+        mine = mine.join(again, name, "left_anti").unionByName(mine.join(again, name, "left_semi").dropDuplicates([name]))
+    return mine.select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir):
