@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.semantics import so_far
 from .folds import ordered_fold
 
-BY_TICK = Window.partitionBy("symbol").orderBy("ts", "seq")
+def by_tick():
+    return Window.partitionBy("symbol").orderBy("ts", "seq")
+
 BAR = "bar_id long, open double, high double, low double, close double, volume double, dollar double, vwap double, n_ticks long, start_time timestamp, close_time timestamp"
 
 
@@ -69,7 +71,7 @@ def tick_bars(trades: DataFrame, threshold: float) -> DataFrame:
     """Bars of ``ceil(threshold)`` ticks: the only kind with a closed form, so no recursion; an unfinished bar is dropped."""
     _check(threshold)
     k = math.ceil(threshold)
-    t = trades.withColumn("bar_id", F.floor((F.row_number().over(BY_TICK) - 1) / k))
+    t = trades.withColumn("bar_id", F.floor((F.row_number().over(by_tick()) - 1) / k))
     at = F.struct("ts", "seq")
     g = t.groupBy("symbol", "bar_id").agg(
         F.min_by("price", at).alias("open"),
@@ -88,8 +90,8 @@ def tick_bars(trades: DataFrame, threshold: float) -> DataFrame:
 
 def with_tick_rule(trades: DataFrame, init: int = 1, out: str = "sign") -> DataFrame:
     """Adds the sign of the price change; no change carries the sign before, the first tick has ``init``."""
-    d = trades.withColumn("_step", F.col("price") - F.lag("price").over(BY_TICK))
-    sign = F.last(F.when(F.col("_step") != 0, F.signum("_step")), ignorenulls=True).over(so_far(BY_TICK))
+    d = trades.withColumn("_step", F.col("price") - F.lag("price").over(by_tick()))
+    sign = F.last(F.when(F.col("_step") != 0, F.signum("_step")), ignorenulls=True).over(so_far(by_tick()))
     return d.withColumn(out, F.coalesce(sign, F.lit(float(init)))).drop("_step")
 
 
@@ -120,7 +122,7 @@ def order_flow_per_bar(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 def volume_bucket_vpin(trades: DataFrame, bucket_volume: float, window: int = 50) -> DataFrame:
     """(symbol, bucket, vpin) over buckets of equal volume and known or inferred sides."""
-    d = with_signed_flow(trades).withColumn("_cum", F.sum("volume").over(so_far(BY_TICK)))
+    d = with_signed_flow(trades).withColumn("_cum", F.sum("volume").over(so_far(by_tick())))
     d = d.withColumn("bucket", F.floor((F.col("_cum") - F.col("volume")) / bucket_volume))
     g = d.groupBy("symbol", "bucket").agg(F.sum(F.col("sign") * F.col("volume")).alias("_imb"), F.sum("volume").alias("_vol"))
     w = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(-(window - 1), Window.currentRow)

@@ -40,13 +40,15 @@ def _ordered(fund: DataFrame, field: str) -> DataFrame:
     return keep_last(d, ["Code", "DiscDate"], ["DiscNo"]) if "DiscNo" in fund.columns else d.dropDuplicates(["Code", "DiscDate"])
 
 
-BY_DISCLOSURE = Window.partitionBy("Code").orderBy("DiscDate")
+def by_disclosure():
+    return Window.partitionBy("Code").orderBy("DiscDate")
+
 
 
 def forecast_revision(fund: DataFrame, field: str = "FEPS") -> DataFrame:
     """(Code, DiscDate, revision): change against the forecast before, relative to its size."""
     d = _ordered(fund, field)
-    prev = F.lag(field).over(BY_DISCLOSURE)
+    prev = F.lag(field).over(by_disclosure())
     return d.select("Code", "DiscDate", ratio(F.col(field) - prev, F.abs(prev)).alias("revision")).where("revision is not null")
 
 
@@ -65,16 +67,16 @@ def dividend_forecast_revision(fund: DataFrame, cumulative: DataFrame | None = N
         d = d.withColumn("_cum", F.lit(1.0))
     else:
         d = asof_backward(d, cumulative.withColumnRenamed("cum", "_cum"), "DiscDate", "date", ["_cum"], by=["Code"]).withColumn("_cum", F.coalesce("_cum", F.lit(1.0)))
-    step = F.lag("_cum").over(BY_DISCLOSURE)
+    step = F.lag("_cum").over(by_disclosure())
     scale = F.when((step != 0) & (F.col("_cum") != 0), step / F.col("_cum")).otherwise(1.0)
-    prev = F.lag(field).over(BY_DISCLOSURE) * scale
+    prev = F.lag(field).over(by_disclosure()) * scale
     return d.select("Code", "DiscDate", ratio(F.col(field) - prev, F.abs(prev)).alias("revision")).where("revision is not null")
 
 
 def buyback_intensity(fund: DataFrame) -> DataFrame:
     """Change of the share of treasury stock."""
     d = _ordered(fund.withColumn("_share", ratio("TrShFY", "ShOutFY")), "_share")
-    return d.select("Code", "DiscDate", (F.col("_share") - F.lag("_share").over(BY_DISCLOSURE)).alias("buyback")).where("buyback is not null")
+    return d.select("Code", "DiscDate", (F.col("_share") - F.lag("_share").over(by_disclosure())).alias("buyback")).where("buyback is not null")
 
 
 def guidance_conservatism(fund: DataFrame, n_years: int = 3, min_years: int = 2) -> DataFrame:
@@ -112,7 +114,7 @@ def expected_announcement_month(fund: DataFrame, dates: DataFrame, top: int = 4)
 def days_to_next_announcement(fund: DataFrame, dates: DataFrame, default_interval: float = 91.0) -> DataFrame:
     """(date, code, days): last disclosure plus the code's median interval (60 to 130, else the default), less the date."""
     d = fund.select("Code", "DiscDate").distinct()
-    gap = F.datediff("DiscDate", F.lag("DiscDate").over(BY_DISCLOSURE))
+    gap = F.datediff("DiscDate", F.lag("DiscDate").over(by_disclosure()))
     usual = d.withColumn("_gap", gap).groupBy("Code").agg(F.percentile("_gap", 0.5).alias("_gap"))
     usual = usual.select("Code", F.coalesce(F.greatest(F.lit(60.0), F.least(F.lit(130.0), F.col("_gap"))), F.lit(default_interval)).alias("_gap"))
     days = dates.select("date").distinct().agg(F.collect_set("date").alias("_d"))

@@ -97,10 +97,11 @@ def get_bins(events: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def get_bins_at_barrier(events: DataFrame, bars: DataFrame, pt: float, sl: float) -> DataFrame:
-    """As ``get_bins``, filled at the barrier itself where one was met inside a bar."""
-    d = get_bins(events, bars).join(events.select("symbol", "t0", "trgt"), ["symbol", "t0"])
-    ret = F.when(F.col("kind") == "pt", pt * F.col("trgt")).when(F.col("kind") == "sl", -sl * F.col("trgt")).otherwise(F.col("ret"))
-    return d.withColumn("ret", ret).withColumn("label", F.signum("ret").cast("int")).drop("trgt")
+    """As ``get_bins``, for barriers met inside bars: a profit is filled at its barrier, a stop there or at a worse close."""
+    d = get_bins(events, bars).join(events.select("symbol", "t0", "trgt", "_meta"), ["symbol", "t0"])
+    ret = F.when(F.col("kind") == "pt", pt * F.col("trgt")).when(F.col("kind") == "sl", F.least(-sl * F.col("trgt"), F.col("ret"))).otherwise(F.col("ret"))
+    d = d.withColumn("ret", ret)
+    return d.withColumn("label", F.when(F.col("_meta"), (F.col("ret") > 0).cast("int")).otherwise(F.signum("ret").cast("int"))).drop("trgt", "_meta")
 
 
 def bet_size(prob: Column, num_classes: int = 2, eps: float = 1e-9) -> Column:

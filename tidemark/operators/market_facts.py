@@ -11,7 +11,7 @@ from .joins import asof_backward
 
 def margin_imbalance(weekly: DataFrame) -> DataFrame:
     both = F.col("LongVol") + F.col("ShrtVol")
-    return weekly.select("Date", "Code", ratio(F.col("LongVol") - F.col("ShrtVol"), both).alias("imbalance"), ratio("ShrtVol", "LongVol").alias("short_ratio"))
+    return weekly.select("Date", "Code", ratio(F.col("LongVol") - F.col("ShrtVol"), both).alias("margin_imbalance"), ratio("ShrtVol", "LongVol").alias("short_to_long"))
 
 
 def short_interest(positions: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def short_interest(positions: DataFrame) -> DataFrame:
 
 def sector_short_ratio(table: DataFrame) -> DataFrame:
     short = F.coalesce("ShrtWithResVa", F.lit(0.0)) + F.coalesce("ShrtNoResVa", F.lit(0.0))
-    return table.select("Date", "S33", ratio(short, F.coalesce("SellExShortVa", F.lit(0.0)) + short).alias("short_ratio"))
+    return table.select("Date", "S33", ratio(short, F.coalesce("SellExShortVa", F.lit(0.0)) + short).alias("sector_short_ratio"))
 
 
 def section_net_flow(flows: DataFrame, investor: str = "Frgn", section: str = "TokyoNagoya") -> DataFrame:

@@ -10,40 +10,42 @@ from pyspark.sql import functions as F
 from ..functions.semantics import guarded, normal_cdf, ratio, trailing
 from .labels import ewm_std
 
-W = Window.partitionBy("symbol").orderBy("ts")
+def by_bar():
+    return Window.partitionBy("symbol").orderBy("ts")
+
 KEYS = ["symbol", "ts"]
 
 
 def parkinson_vol(bars: DataFrame, window: int = 20) -> DataFrame:
     d = bars.withColumn("_x", F.log(F.col("high") / F.col("low")) ** 2)
-    return d.select(*KEYS, F.sqrt(guarded(F.avg("_x"), "_x", trailing(W, window), window) / (4 * math.log(2))).alias("parkinson"))
+    return d.select(*KEYS, F.sqrt(guarded(F.avg("_x"), "_x", trailing(by_bar(), window), window) / (4 * math.log(2))).alias("parkinson"))
 
 
 def garman_klass_vol(bars: DataFrame, window: int = 20) -> DataFrame:
     x = 0.5 * F.log(F.col("high") / F.col("low")) ** 2 - (2 * math.log(2) - 1) * F.log(F.col("close") / F.col("open")) ** 2
     d = bars.withColumn("_x", x)
-    return d.select(*KEYS, F.sqrt(F.greatest(F.lit(0.0), guarded(F.avg("_x"), "_x", trailing(W, window), window))).alias("garman_klass")).withColumn("garman_klass", F.when(F.count(F.lit(1)).over(trailing(W, window)) >= window, F.col("garman_klass")))
+    return d.select(*KEYS, F.sqrt(F.greatest(F.lit(0.0), guarded(F.avg("_x"), "_x", trailing(by_bar(), window), window))).alias("garman_klass")).withColumn("garman_klass", F.when(F.count(F.lit(1)).over(trailing(by_bar(), window)) >= window, F.col("garman_klass")))
 
 
 def amihud_illiquidity(bars: DataFrame, window: int = 20) -> DataFrame:
-    r = F.abs(ratio("close", F.lag("close").over(W)) - 1)
+    r = F.abs(ratio("close", F.lag("close").over(by_bar())) - 1)
     d = bars.withColumn("_x", F.try_divide(r, F.col("dollar")))
-    return d.select(*KEYS, guarded(F.avg("_x"), "_x", trailing(W, window), window).alias("amihud"))
+    return d.select(*KEYS, guarded(F.avg("_x"), "_x", trailing(by_bar(), window), window).alias("amihud"))
 
 
 def roll_spread(bars: DataFrame, window: int = 20) -> DataFrame:
-    d = bars.withColumn("_d", F.col("close") - F.lag("close").over(W))
-    d = d.withColumn("_l", F.lag("_d").over(W))
+    d = bars.withColumn("_d", F.col("close") - F.lag("close").over(by_bar()))
+    d = d.withColumn("_l", F.lag("_d").over(by_bar()))
     both = F.when(F.col("_d").isNotNull() & F.col("_l").isNotNull(), 1)
-    w = trailing(W, window)
+    w = trailing(by_bar(), window)
     cov = F.when(F.count(both).over(w) >= window, F.covar_samp("_d", "_l").over(w))
     return d.select(*KEYS, F.when(cov.isNotNull(), 2 * F.sqrt(F.greatest(-cov, F.lit(0.0)))).alias("roll_spread"))
 
 
 def corwin_schultz_spread(bars: DataFrame) -> DataFrame:
     k = 3 - 2 * math.sqrt(2)
-    beta = F.log(F.col("high") / F.col("low")) ** 2 + F.log(F.lag("high").over(W) / F.lag("low").over(W)) ** 2
-    hi, lo = F.lag("high").over(W), F.lag("low").over(W)
+    beta = F.log(F.col("high") / F.col("low")) ** 2 + F.log(F.lag("high").over(by_bar()) / F.lag("low").over(by_bar())) ** 2
+    hi, lo = F.lag("high").over(by_bar()), F.lag("low").over(by_bar())
     gamma = F.when(hi.isNotNull(), F.log(F.greatest(F.col("high"), hi) / F.least(F.col("low"), lo)) ** 2)
     d = bars.select(*KEYS, beta.alias("_b"), gamma.alias("_g"))
     alpha = (math.sqrt(2) - 1) / k * F.sqrt("_b") - F.sqrt(F.col("_g") / k)
@@ -53,19 +55,19 @@ def corwin_schultz_spread(bars: DataFrame) -> DataFrame:
 
 def vpin(bars: DataFrame, window: int = 50, sigma_span: int = 50) -> DataFrame:
     """Bulk-volume classification: the share bought is the normal probability of the scaled price change."""
-    d = bars.withColumn("_d", F.col("close") - F.lag("close").over(W))
+    d = bars.withColumn("_d", F.col("close") - F.lag("close").over(by_bar()))
     d = d.join(ewm_std(d, "_d", sigma_span, out="_s"), KEYS)
     bought = normal_cdf(F.try_divide("_d", "_s"))
     d = d.withColumn("_i", F.col("volume") * F.abs(2 * bought - 1))
-    w = trailing(W, window)
+    w = trailing(by_bar(), window)
     return d.select(*KEYS, F.try_divide(guarded(F.sum("_i"), "_i", w, window), guarded(F.sum("volume"), "volume", w, window)).alias("vpin"))
 
 
 def rsi(bars: DataFrame, window: int = 14) -> DataFrame:
-    d = bars.withColumn("_d", F.col("close") - F.lag("close").over(W))
+    d = bars.withColumn("_d", F.col("close") - F.lag("close").over(by_bar()))
     d = d.withColumns({"_g": F.greatest("_d", F.lit(0.0)), "_l": F.greatest(-F.col("_d"), F.lit(0.0))})
     d = d.withColumns({c: F.when(F.col("_d").isNotNull(), F.col(c)) for c in ("_g", "_l")})
-    w = trailing(W, window)
+    w = trailing(by_bar(), window)
     g, l = (guarded(F.avg(c), c, w, window) for c in ("_g", "_l"))
     return d.select(*KEYS, F.when(l == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(g, l))).alias("rsi"))
 
@@ -91,7 +93,7 @@ def frac_diff(series: DataFrame, d: float, thresh: float = 1e-5, value: str = "c
     """(symbol, ts, frac_diff): fixed-width convolution; rows before the full width are dropped."""
     weights = frac_diff_weights(d, thresh)
     n = len(weights)
-    frame = F.collect_list(value).over(W.rowsBetween(-(n - 1), Window.currentRow))
+    frame = F.collect_list(value).over(by_bar().rowsBetween(-(n - 1), Window.currentRow))
     lit = F.array(*map(F.lit, weights))
     s = series.where(F.col(value).isNotNull()).select(*KEYS, frame.alias("_x"))
     return s.where(F.size("_x") == n).select(*KEYS, F.aggregate(F.zip_with("_x", lit, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("frac_diff"))

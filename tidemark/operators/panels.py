@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import change, clip, col, guarded, keep_last, over, ratio, so_far, trailing, z_score
 
-BY_CODE = over("code", "date")
-BY_DATE = Window.partitionBy("date")
+def by_code():
+    return over("code", "date")
+
+def by_date():
+    return Window.partitionBy("date")
+
 
 # Market codes of common stock.
 COMMON_MARKETS = ("0111", "0112", "0113")
@@ -27,12 +31,12 @@ def month_end_rows(df: DataFrame, date: str = "date", by: Sequence[str] = (), ma
 
 def forward_returns(px: DataFrame, price: str = "close", pad: bool = False) -> DataFrame:
     """(date, code, fwd_ret): what the next row brings; an outcome, not a feature."""
-    back = px.select("date", "code", change(price, BY_CODE, pad=pad).alias("ret"))
-    return back.select("date", "code", F.lead("ret").over(BY_CODE).alias("fwd_ret"))
+    back = px.select("date", "code", change(price, by_code(), pad=pad).alias("ret"))
+    return back.select("date", "code", F.lead("ret").over(by_code()).alias("fwd_ret"))
 
 
 def trailing_momentum(px: DataFrame, lookback: int = 12, skip: int = 1, price: str = "close") -> DataFrame:
-    m = ratio(F.lag(price, skip).over(BY_CODE), F.lag(price, lookback).over(BY_CODE)) - 1
+    m = ratio(F.lag(price, skip).over(by_code()), F.lag(price, lookback).over(by_code())) - 1
     return px.select("date", "code", m.alias("momentum"))
 
 
@@ -49,7 +53,7 @@ def select_universe(px: DataFrame, top_n: int = 500, min_obs: int = 12, turnover
 
 def point_in_time_universe(px: DataFrame, top_n: int = 300, lookback: int = 12, min_obs: int = 6, turnover: str = "turnover") -> DataFrame:
     """(date, code, member): top codes by trailing median turnover among those that trade on the date."""
-    w = trailing(BY_CODE, lookback)
+    w = trailing(by_code(), lookback)
     med = F.when((F.count(turnover).over(w) >= min_obs) & F.col(turnover).isNotNull(), F.percentile(turnover, 0.5).over(w))
     ranked = px.select("date", "code", med.alias("_med"))
     rn = F.row_number().over(Window.partitionBy("date").orderBy(F.desc_nulls_last("_med"), "code"))
@@ -93,8 +97,8 @@ def value_quality_size_factors(pit: DataFrame) -> DataFrame:
 
 
 def low_volatility(px: DataFrame, window: int = 12, price: str = "close", pad: bool = True) -> DataFrame:
-    r = px.select("date", "code", change(price, BY_CODE, pad=pad).alias("_r"))
-    w = trailing(BY_CODE, window)
+    r = px.select("date", "code", change(price, by_code(), pad=pad).alias("_r"))
+    w = trailing(by_code(), window)
     return r.select("date", "code", (-guarded(F.stddev_samp("_r"), "_r", w, max(2, window // 2))).alias("low_vol"))
 
 
@@ -105,8 +109,8 @@ def residual_momentum(returns: DataFrame, window: int = 36, length: int = 12, sk
     fixed fit per row, the sums of residuals and of their squares follow from
     rolling sums, so that no row is revisited.
     """
-    w = BY_CODE.rowsBetween(-window, -1)
-    seg = BY_CODE.rowsBetween(-length, -1 - skip)
+    w = by_code().rowsBetween(-window, -1)
+    seg = by_code().rowsBetween(-length, -1 - skip)
     both = F.col("ret").isNotNull() & F.col("market").isNotNull()
     y, x = F.when(both, F.col("ret")), F.when(both, F.col("market"))
     b, a = F.regr_slope(y, x).over(w), F.regr_intercept(y, x).over(w)
@@ -122,7 +126,7 @@ def residual_momentum(returns: DataFrame, window: int = 36, length: int = 12, sk
 
 
 def zscore_cross_section(df: DataFrame, value: str = "value", winsor: float | None = 3.0, ddof: int = 0) -> DataFrame:
-    z = z_score(value, BY_DATE, ddof)
+    z = z_score(value, by_date(), ddof)
     return df.withColumn(value, clip(z, -winsor, winsor) if winsor else z)
 
 
@@ -142,10 +146,10 @@ def residualize(df: DataFrame, target: str, controls: Sequence[str], out: str =
     full = F.col(target).isNotNull()
     for c in controls:
         full = full & F.col(c).isNotNull()
-    n = F.count(F.when(full, 1)).over(BY_DATE)
+    n = F.count(F.when(full, 1)).over(by_date())
     if k == 1:
         y, x = F.when(full, F.col(target)), F.when(full, F.col(controls[0]))
-        fit = F.regr_intercept(y, x).over(BY_DATE) + F.regr_slope(y, x).over(BY_DATE) * x
+        fit = F.regr_intercept(y, x).over(by_date()) + F.regr_slope(y, x).over(by_date()) * x
         return df.withColumn(out, F.when(n >= k + 3, y - fit))
     terms = [F.lit(1.0), *(F.col(c).cast("double") for c in controls)]
     sums = df.where(full).groupBy("date").agg(F.count(F.lit(1)).alias("_n"), F.array(*(F.sum(a * b) for a in terms for b in terms)).alias("_a"), F.array(*(F.sum(a * F.col(target)) for a in terms)).alias("_b"))
@@ -168,7 +172,7 @@ def quantile_weights(df: DataFrame, value: str = "value", quantile: float = 0.2,
     No weights under ``min_names`` names. Ties go by code; a name in both groups is short.
     """
     d = df.where(F.col(value).isNotNull())
-    n = F.count(F.lit(1)).over(BY_DATE)
+    n = F.count(F.lit(1)).over(by_date())
     k = F.greatest(F.lit(1), F.floor(n * quantile))
     up = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(value), "code"))
     down = F.row_number().over(Window.partitionBy("date").orderBy(value, F.desc("code")))
@@ -200,7 +204,7 @@ def long_short_returns(factor: DataFrame, fwd: DataFrame, value: str = "value",
 
 def back_adjust(px: DataFrame, factor: str = "adj_factor", fields: Sequence[str] = ("close",)) -> DataFrame:
     """Prices times all later split factors; a null factor is 1."""
-    later = BY_CODE.rowsBetween(1, Window.unboundedFollowing)
+    later = by_code().rowsBetween(1, Window.unboundedFollowing)
     cum = F.coalesce(F.product(F.coalesce(F.col(factor), F.lit(1.0))).over(later), F.lit(1.0))
     return px.withColumn("_cum", cum).withColumns({f"adj_{f}": F.col(f) * F.col("_cum") for f in fields}).drop("_cum")
 
@@ -237,8 +241,8 @@ def to_long(wide: DataFrame, value: str = "value") -> DataFrame:
 
 def price_features(px: DataFrame, vol_window: int = 20, mom_lookback: int = 252, mom_skip: int = 21, rev_window: int = 5, price: str = "close") -> DataFrame:
     """Returns, log returns, annual volatility, momentum and reversal of one dense panel."""
-    r = px.withColumn("ret", change(price, BY_CODE, pad=True))
-    w = trailing(BY_CODE, vol_window)
+    r = px.withColumn("ret", change(price, by_code(), pad=True))
+    w = trailing(by_code(), vol_window)
     p = col(price)
     return r.select(
         "date",
@@ -246,13 +250,13 @@ def price_features(px: DataFrame, vol_window: int = 20, mom_lookback: int = 252,
         "ret",
         F.when(F.col("ret") > -1, F.log1p("ret")).alias("log_ret"),
         (guarded(F.stddev_samp("ret"), "ret", w, vol_window // 2) * 252**0.5).alias("vol"),
-        (ratio(F.lag(p, mom_skip).over(BY_CODE), F.lag(p, mom_lookback).over(BY_CODE)) - 1).alias("momentum"),
-        (-(ratio(p, F.lag(p, rev_window).over(BY_CODE)) - 1)).alias("reversal"),
+        (ratio(F.lag(p, mom_skip).over(by_code()), F.lag(p, mom_lookback).over(by_code())) - 1).alias("momentum"),
+        (-(ratio(p, F.lag(p, rev_window).over(by_code())) - 1)).alias("reversal"),
     )
 
 
 def rolling_adv(px: DataFrame, window: int = 20, least: int = 5, turnover: str = "turnover") -> DataFrame:
-    return px.select("date", "code", guarded(F.avg(turnover), turnover, trailing(BY_CODE, window), least).alias("adv"))
+    return px.select("date", "code", guarded(F.avg(turnover), turnover, trailing(by_code(), window), least).alias("adv"))
 
 
 def coverage_by_date(df: DataFrame, value: str = "value") -> DataFrame:
@@ -261,6 +265,6 @@ def coverage_by_date(df: DataFrame, value: str = "value") -> DataFrame:
 
 def equal_weight_market(px: DataFrame, price: str = "close", pad: bool = True) -> DataFrame:
     """(date, ret, level): the mean return of each date, compounded; one row per date."""
-    r = px.select("date", change(price, BY_CODE, pad=pad).alias("_r")).groupBy("date").agg(F.avg("_r").alias("ret"))
+    r = px.select("date", change(price, by_code(), pad=pad).alias("_r")).groupBy("date").agg(F.avg("_r").alias("ret"))
     w = so_far(Window.partitionBy(F.lit(0)).orderBy("date"))
     return r.withColumn("level", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w))
