@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], object], inputs: Sequence[str], schema: str, key_type: str = "string") -> DataFrame:
+def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], object], inputs: Sequence[str], schema: str) -> DataFrame:
     """Rows (keys, what ``step`` gives) wherever ``step`` gives something; ``schema`` is of those values."""
     keys, inputs = list(keys), list(inputs)
     key_types = dict(df.select(*keys).dtypes)
     full = ", ".join(f"`{k}` {key_types[k]}" for k in keys) + (", " if keys else "") + schema
-    names = [*keys, *(c.strip().split()[0] for c in schema.split(","))]
+    names = [*keys, *(c.strip().split()[0].strip("`") for c in schema.split(","))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, fold = object(), None

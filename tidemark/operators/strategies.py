@@ -9,6 +9,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,8 +142,6 @@ class CointegratedPair(Strategy):
         self.a, self.b, self.lookback, self.entry, self.max_p, self.max_half_life, self.name = a, b, lookback, entry, max_p, max_half_life, name
 
     def weights(self, panel: DataFrame) -> DataFrame:
-        import pandas as pd
-
         max_p, max_half = self.max_p, self.max_half_life
 
         @F.pandas_udf("beta double, z double, ok boolean")
@@ -181,8 +180,6 @@ class JohansenBasket(Strategy):
         self.codes, self.lookback, self.entry, self.name = list(codes), lookback, entry, name
 
     def weights(self, panel: DataFrame) -> DataFrame:
-        import pandas as pd
-
         codes, entry = self.codes, self.entry
 
         @F.pandas_udf("array<double>")
