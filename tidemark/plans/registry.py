@@ -152,10 +152,10 @@ def quantile_weights(s, d):
     return rounded(panels.quantile_weights(momentum_factor(s, d)))
 
 
-@query(f"WITH {R.PANEL}, a AS (SELECT *, CASE WHEN month(date) = 6 THEN 0.9 END AS f FROM panel) SELECT date, code, round(close * coalesce(product(coalesce(f, 1.0)) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1.0), 4) AS adj_close FROM a")
+@query(f"WITH {R.PANEL}, a AS (SELECT *, CASE WHEN month(date) = 6 THEN 0.9 END AS f FROM panel) SELECT date, code, round(close * coalesce(product(coalesce(f, 1.0)) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1.0), 6) AS adj_close FROM a")
 def back_adjust(s, d):
     p = R.panel(s, d).withColumn("adj_factor", F.when(F.month("date") == 6, 0.9))
-    return rounded(panels.back_adjust(p).select("date", "code", "adj_close"), 4)
+    return rounded(panels.back_adjust(p).select("date", "code", "adj_close"))
 
 
 RANK = "(rank() OVER (PARTITION BY date ORDER BY {c}) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY date)"
