@@ -5,7 +5,9 @@ to ``WIDTH`` random Fourier features, which approximate a Gaussian kernel. Every
 partition of the labelled rows sums its share of the normal equations; the sums
 are added up by blocks of rows, in two levels, and the driver solves one system
 of ``WIDTH + 1`` unknowns. Scores are calibrated by pooling adjacent violators
-over ``SCORE_BINS`` bins of the raw score, counted over all labelled rows.
+over ``SCORE_BINS`` bins of the raw score, counted over all labelled rows; a row's
+raw score there comes from the other ``FOLDS - 1`` folds, as a fit flatters its
+own rows.
 
 Defined results: a null or empty text has the statistics of an empty text and a
 score like any other; labels of one document that disagree are averaged; null
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, held_out, table, utf8
 
-WIDTH, RIDGE, SCORE_BINS, BLOCK, SALTS = 256, 1e-3, 512, 16, 32
+WIDTH, BANDWIDTH, RIDGE, FOLDS, SCORE_BINS, BLOCK, SALTS = 256, 2.0, 1e-3, 4, 512, 16, 32
 #: A score of at least this predicts label 1.
 CUT = 0.7
 
@@ -92,7 +94,7 @@ class Features:
     def __init__(self, mean: np.ndarray, std: np.ndarray, width: int = WIDTH, seed: int = 9):
         rng = np.random.default_rng(seed)
         self.mean, self.std = mean, np.where(std > 1e-9, std, 1.0)
-        self.w = rng.normal(size=(len(mean), width)) / np.sqrt(len(mean) / 2)
+        self.w = rng.normal(size=(len(mean), width)) / np.sqrt(len(mean) / 2) / BANDWIDTH
         self.phase = rng.uniform(0, 2 * np.pi, width)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -119,29 +121,37 @@ def _add(key: str):
     return add
 
 
-def solve(labelled: DataFrame, features: Features, width: int = WIDTH) -> np.ndarray:
-    """Ridge weights from normal equations that partitions sum; ``labelled`` has x and y."""
+def normal_equations(labelled: DataFrame, features: Features, width: int = WIDTH) -> np.ndarray:
+    """Per fold, the normal matrix with the right side as its last column, summed by partitions; ``labelled`` has x, y and fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros((width + 1, width + 2))
+        total = np.zeros((FOLDS, width + 1, width + 2))
         for b in batches:
-            z, y = features(matrix(b.column(0))), np.asarray(b.column(1), dtype=float)
-            total[:, :-1] += z.T @ z
-            total[:, -1] += z.T @ y
-        blocks = [total[i : i + BLOCK].tobytes() for i in range(0, width + 1, BLOCK)]
+            z, y, fold = features(matrix(b.column(0))), np.asarray(b.column(1), dtype=float), np.asarray(b.column(2))
+            for k in range(FOLDS):
+                mine = z[fold == k]
+                total[k, :, :-1] += mine.T @ mine
+                total[k, :, -1] += mine.T @ y[fold == k]
+        flat = total.reshape(-1, width + 2)
+        blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
         salt = TaskContext.get().partitionId() % SALTS
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["block", "salt", "part"])
 
-    parts = arrow_map(labelled.select("x", "y"), run, "block int, salt int, part binary")
+    parts = arrow_map(labelled.select("x", "y", "fold"), run, "block int, salt int, part binary")
     parts = parts.groupBy("block", "salt").applyInArrow(_add("block salt"), "block int, salt int, part binary")
     parts = parts.select("block", "part").groupBy("block").applyInArrow(_add("block"), "block int, part binary")
-    rows = sorted(parts.collect(), key=lambda r: r["block"])  # (WIDTH + 1) x (WIDTH + 2) numbers in all
+    rows = sorted(parts.collect(), key=lambda r: r["block"])  # FOLDS x (WIDTH + 1) x (WIDTH + 2) numbers in all
     if not rows:
-        return np.zeros(width + 1)
-    a = np.frombuffer(b"".join(r["part"] for r in rows), float).reshape(width + 1, width + 2)
-    return np.linalg.solve(a[:, :-1] + RIDGE * max(1.0, a[-1, -2] / 100) * np.eye(width + 1), a[:, -1])
+        return np.zeros((FOLDS, width + 1, width + 2))
+    return np.frombuffer(b"".join(r["part"] for r in rows), float).reshape(FOLDS, width + 1, width + 2)
+
+
+def solve(a: np.ndarray) -> np.ndarray:
+    """Ridge weights from summed normal equations; the last feature is 1, so that its square counts the rows."""
+    n = len(a)
+    return np.linalg.solve(a[:, :-1] + RIDGE * max(1.0, a[-1, -2] / 100) * np.eye(n), a[:, -1])
 
 
 def isotonic(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -172,13 +182,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
     features = Features(*moments(rows))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull())
     known = known.groupBy("doc_id").agg(F.avg("y").alias("y")).where(~held_out(F.col("doc_id")))
-    labelled = rows.join(known, "doc_id").select("x", "y")
-    weights = solve(labelled, features)
+    labelled = rows.join(known, "doc_id").select("x", "y", (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % FOLDS).cast("int").alias("fold"))
+    sums = normal_equations(labelled, features)
+    weights = solve(sums.sum(axis=0))
+    without = np.stack([solve(sums.sum(axis=0) - sums[k]) for k in range(FOLDS)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ones = np.zeros(SCORE_BINS), np.zeros(SCORE_BINS)
         for b in batches:
-            k = bin_of(features(matrix(b.column(0))) @ weights)
+            k = bin_of((features(matrix(b.column(0))) * without[np.asarray(b.column(2))]).sum(axis=1))
             n += np.bincount(k, minlength=SCORE_BINS)
             ones += np.bincount(k, np.asarray(b.column(1), dtype=float), minlength=SCORE_BINS)
         at = np.flatnonzero(n)
