@@ -38,7 +38,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: What an opening tag closes, up to the element that holds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Groups of tags; each is a feature of a node, and of what it stands in.
-TAGS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset", "table tbody tr td th thead", "blockquote pre figure figcaption", "address dialog details summary", "span a em b i small time label"]
+TAGS = ["article main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset", "table tbody tr td th thead", "blockquote pre figure figcaption", "address dialog details summary", "span a em b i small time label"]
 GROUP = {t: i for i, group in enumerate(TAGS) for t in group.split()}
 #: Groups of attribute tokens, likewise.
 TOKENS = [
@@ -48,7 +48,7 @@ TOKENS = [
     "footer foot bottom copyright legal colophon",
     "sidebar aside side rail secondary widget related recommended recommendations popular trending tags",
     "ad ads advert advertisement adverts sponsor sponsored promo promotion adslot dfp",
-    "comment comments reply replies discussion disqus respond thread",
+    "comment comments commentlist reply replies discussion disqus respond thread",
     "cookie cookies notice consent gdpr alert popup modal overlay warning message",
     "form login signup signin subscribe subscription newsletter search share sharing social contact",
     "hidden none meta byline author date tools print skip",
@@ -57,6 +57,8 @@ TOKEN = {t: i for i, group in enumerate(TOKENS) for t in group.split()}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Log-odds against dropping a node from one that stays. Made-up pages held out from training give 349, 347, 343 right of 400 for 0, 0.5, 1.
+CUT = 0.75
 
 
 class Page:
@@ -217,16 +219,16 @@ class Page:
         columns += [(above >> k) & 1 for k in range(len(TOKENS))]
         return np.stack(columns, axis=1).astype(np.float32)
 
-    def decode(self, margin: np.ndarray) -> np.ndarray:
-        """The most likely choice in which whatever stands in a node that goes, goes too."""
+    def decode(self, margin: np.ndarray, cut: float = 0.0) -> np.ndarray:
+        """The most likely choice in which whatever stands in a node that goes, goes too; ``cut`` is the log-odds against a node that goes in one that stays."""
         n = len(self.parent)
         stay, go = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
         best, gone = stay.tolist(), go.tolist()
         chosen = [True] * n
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
-            chosen[i] = best[i] > gone[i]
-            best[p] += max(best[i], gone[i])
+            chosen[i] = best[i] > gone[i] - cut
+            best[p] += max(best[i], gone[i] - cut)
             gone[p] += gone[i]
         for i in range(1, n):
             chosen[i] = chosen[i] and chosen[self.parent[i]]
@@ -252,7 +254,7 @@ def extract_text(pages: DataFrame, trees=None, id_col: str = "page_id", html_col
             features = [p.features() for p in read]
             margin = trees.margin(np.vstack(features))
             cuts = np.cumsum([len(f) for f in features])[:-1]
-            texts = [p.text(p.decode(m)) for p, m in zip(read, np.split(margin, cuts))]
+            texts = [p.text(p.decode(m, CUT)) for p, m in zip(read, np.split(margin, cuts))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names)
 
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), *(F.col(c).cast("string").alias(c) for c in keep), F.col(html_col).cast("string").alias("html"))

@@ -21,13 +21,16 @@ TRAINING_PAGES, SEED = 1200, 7
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.stop = 0.12
+        self.tail = ""
 
     def words(self, low: int, high: int) -> str:
         out = []
         for _ in range(self.r.randint(low, high)):
             out.append("".join(self.r.choice(["ta", "ri", "on", "el", "es", "mo", "ver", "in", "de", "lu"]) for _ in range(self.r.randint(1, 4))))
-            if self.r.random() < 0.12:
+            if self.r.random() < self.stop:
                 out[-1] += self.r.choice([",", ".", ".", ";", "?"])
+            out[-1] += self.tail
         return " ".join(out).capitalize() + self.r.choice([".", ".", ""])
 
     def el(self, tag: str, k: int, inner: str, names: list[str] | None = None, how: float = 1.0) -> str:
@@ -59,9 +62,9 @@ class Maker:
         """One part that goes. A telling tag, or a div with a telling class; sometimes only its content tells."""
         r = self.r
         kind = kind or r.choice("nav nav header footer aside ad ad comments comments notice notice form social related".split())
-        semantic, named = r.random() < 0.5, r.random() < 0.9
+        semantic = r.random() < 0.5
         tag = lambda t: t if semantic else r.choice(["div", "div", "section", "p" if kind == "ad" else "div"])
-        how = 0.95 if named or not semantic else 0.3
+        how = 0.35 if semantic else 0.97
         if kind == "nav":
             return self.el(tag("nav"), 0, self.el(r.choice(["ul", "ol"]), 0, self.links(0, 3, 12)), ["nav", "menu", "navbar", "breadcrumb", "navigation"], how)
         if kind == "header":
@@ -76,22 +79,24 @@ class Maker:
             inner = r.choice([lambda: self.words(2, 25), lambda: self.el("p", 0, self.words(2, 25)), lambda: f'<a href="/ad">{self.words(2, 12)}</a>'])()
             return self.el(r.choice(["div", "div", "aside", "section", "ins"]), 0, inner, ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot"], 0.97)
         if kind == "comments":
-            one = lambda: self.el(r.choice(["div", "li", "article"]), 0, self.el("p", 0, self.words(2, 4)) + self.paragraphs(0, 1, 3, 50), ["comment", "reply", "comment-body"], 0.8)
+            one = lambda: self.el(r.choice(["div", "div", "li", "li", "li", "article"]), 0, self.el("p", 0, self.words(2, 4)) + self.paragraphs(0, 1, 3, 50), ["comment", "reply", "comment-body"], 0.8)
             inner = self.el("h2", 0, self.words(1, 3)) + "".join(one() for _ in range(r.randint(1, 8)))
-            return self.el(r.choice(["section", "div", "div", "ol"]), 0, inner, ["comments", "comment-list", "discussion", "replies", "reader-comments"], 0.97)
+            return self.el(r.choice(["section", "div", "div", "ol"]), 0, inner, ["comments", "comment-list", "commentlist", "discussion", "replies", "reader-comments"], 0.97)
         if kind == "notice":
             inner = r.choice([lambda: self.words(4, 40), lambda: self.el("p", 0, self.words(4, 40)) + "<button>Ok</button>"])()
             return self.el(r.choice(["div", "div", "section", "aside", "dialog", "p"]), 0, inner, ["cookie-notice", "notice", "consent", "gdpr", "alert", "cookie", "popup"], 0.97)
         if kind == "form":
-            inner = self.el("label", 0, self.words(1, 4)) + '<input type="text">' + self.el("p", 0, self.words(1, 20)) + "<button>Go</button>"
-            return self.el(r.choice(["form", "form", "form", "div"]), 0, inner, ["newsletter", "subscribe", "search", "login", "signup"], 0.97)
+            label = r.choice([lambda: f"<label>{self.words(1, 4)}</label>", lambda: self.el("p", 0, self.words(1, 4)), lambda: self.words(1, 6)])()
+            inner = label + '<input type="text">' + r.choice([lambda: "", lambda: self.el("p", 0, self.words(1, 20))])() + "<button>Go</button>"
+            tag = r.choice(["form", "form", "form", "div"])
+            return self.el(tag, 0, inner, ["newsletter", "subscribe", "search", "login", "signup"], 0.35 if tag == "form" else 0.97)
         return self.el(r.choice(["div", "ul"]), 0, self.links(0, 2, 6), ["share", "social", "sharing"], 0.97)
 
     def article(self) -> str:
         r = self.r
         parts = [self.el(r.choice(["h1", "h1", "h2"]), 1, self.words(2, 12))] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 6)):
-            parts.append(self.paragraphs(1, 1, 4, r.choice([6, 25, 60, 150])))
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6])):
+            parts.append(self.paragraphs(1, 1, 4, r.choice([3, 10, 25, 60, 150])))
             x = r.random()
             if x < 0.08:
                 parts.append(self.el(r.choice(["ul", "ol"]), 1, "".join(self.el("li", 1, self.words(3, 20)) for _ in range(r.randint(2, 5)))))
@@ -114,6 +119,7 @@ class Maker:
 
     def page(self) -> str:
         r = self.r
+        self.stop, self.tail = r.choice([0.0, 0.05, 0.12, 0.12, 0.3]), r.choice(["", "", "", "", "", "!!", "%%%", " |"])
         if r.random() < 0.04:  # text with hardly any markup
             body = self.words(5, 200) + self.paragraphs(1, 0, 3)
         else:
