@@ -66,10 +66,10 @@ def momentum_factor(s, d):
     return panels.zscore_cross_section(panels.sector_neutralize(m, R.sectors(s, d)))
 
 
-@query(f"WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, {FWD}, {weights_sql('z', 0.2, 20)}, {LS} SELECT date, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(gross - 0.0015 * turnover, 6) AS net FROM ls")
+@query(f"WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, {FWD}, {weights_sql('z', 0.2, 5)}, {LS} SELECT date, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(gross - 0.0015 * turnover, 6) AS net FROM ls")
 def momentum_long_short_net(s, d):
     p = R.panel(s, d)
-    return rounded(panels.long_short_returns(momentum_factor(s, d), panels.forward_returns(p), costs_bps=15.0))
+    return rounded(panels.long_short_returns(momentum_factor(s, d), panels.forward_returns(p), costs_bps=15.0, min_names=5))
 
 
 @query(f"WITH {R.PANEL}, {FWD} SELECT date, code, round(fwd_ret, 6) AS fwd_ret FROM fwd")
