@@ -303,6 +303,24 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs(spark, [])).count() == 0
 
 
+def test_large_group_joins_at_its_origin(spark):
+    """Two hundred copies, each edited on its own: near to the origin, not to each other."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    origin = [word() for _ in range(400)]
+    texts = []
+    for _ in range(200):
+        w = list(origin)
+        for at in rnd.sample(range(400), 7):
+            w[at] = word()
+        texts.append(" ".join(w))
+    texts.insert(77, " ".join(origin))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
+    near = [len(s & shingles[77]) / len(s | shingles[77]) for s in shingles]
+    assert np.median(near) > 0.8 > np.median([len(shingles[i] & shingles[i + 1]) / len(shingles[i] | shingles[i + 1]) for i in range(0, 70)])
+    assert simhash.one_of_each(docs(spark, texts)).count() <= 20
+
+
 # 7 HTML
 
 

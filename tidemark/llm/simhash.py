@@ -196,8 +196,10 @@ def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> tuple[Data
     each agree with a probability equal to the similarity; ``shared`` of 128
     agreeing bytes make a link. Lists are keyed by four positions, so that a
     pair at 0.8 meets in one of the 32 lists with a probability over 0.9999.
-    In a list over ``LIST_MAX`` members every member is held against the
-    smallest one only; the other 31 lists and the components join the rest.
+    In a list over ``LIST_MAX`` members every member is held against one only,
+    the one whose 32 lists are the fullest: that is the text the others derive
+    from, if it is there. Such lists are an approximation; components and the
+    other lists join what one list misses.
 
     Texts without words are copies of each other. Of a group the smallest id
     stays; a null id counts as largest. ``key`` is a hash of id and text.
@@ -217,10 +219,14 @@ def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> tuple[Data
     texts = scratch.keep(rows.groupBy("fp").agg(F.min(order).alias("first"), F.first("sketch").alias("sketch")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS // IN_KEY - 1)), lambda i: F.struct(i.alias("list"), F.substring("sketch", i * IN_KEY + 1, F.lit(IN_KEY)).alias("key")))
     postings = scratch.keep(texts.select("fp", F.explode(keys).alias("e")).select("e.list", "e.key", "fp"))
-    sizes = scratch.keep(postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u")).where("n > 1"))
-    few = postings.join(sizes.where(F.col("n") <= LIST_MAX).select("list", "key"), ["list", "key"], "left_semi")
+    sizes = postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = scratch.keep(postings.join(sizes, ["list", "key"]))
+    few = listed.where(F.col("n") <= LIST_MAX).drop("n")
     pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["list", "key"]).where("u < v").select("u", "v")
-    stars = postings.join(sizes.where(F.col("n") > LIST_MAX), ["list", "key"]).where("u < fp").select("u", F.col("fp").alias("v"))
+    many = listed.where(F.col("n") > LIST_MAX)
+    popular = listed.join(many.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.sum("n").alias("popularity"))
+    centers = many.join(popular, "fp").groupBy("list", "key").agg(F.max_by("fp", F.struct("popularity", "fp")).alias("c"))
+    stars = many.join(centers, ["list", "key"]).where("c <> fp").select(F.least("c", "fp").alias("u"), F.greatest("c", "fp").alias("v"))
     met = scratch.keep(pairs.unionByName(stars).distinct())
     sketch = texts.select("fp", "sketch")
     both = met.join(sketch.toDF("u", "a"), "u").join(sketch.toDF("v", "b"), "v")
