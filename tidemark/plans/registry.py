@@ -19,6 +19,7 @@ from ..operators import joins, labels, microstructure, panels, portfolio, produc
 from ..operators import market_facts as mf
 from ..operators import statistics as st
 from ..operators import strategies as sg
+from ..operators import studies as sd
 from ..operators import timeseries as tm
 from ..sources import store
 from . import relations as R
@@ -705,3 +706,94 @@ def join_full_weights(s, d):
     p = R.panel(s, d)
     mean = lambda c: p.where(c).groupBy("code").agg(F.avg("close").alias("weight"))
     return rounded(joins.full_weights(mean("month(date) = 1 AND code % 2 = 0"), mean("month(date) = 2 AND code % 3 = 0")))
+
+
+# Studies
+
+
+@query(f"WITH {R.PANEL}, {MOM}, {FWD}, x AS (SELECT date, code, value FROM mom WHERE value IS NOT NULL), r AS (SELECT date, code, {RANK.format(c='value')} AS p FROM x) SELECT date, round(CASE WHEN count(*) >= 5 THEN avg(fwd_ret) FILTER (p >= 0.8) - avg(fwd_ret) FILTER (p <= 0.2) END, 6) AS ret FROM r LEFT JOIN fwd USING (date, code) GROUP BY date")
+def factor_returns(s, d):
+    p = R.panel(s, d)
+    return rounded(sd.factor_returns(panels.trailing_momentum(p).withColumnRenamed("momentum", "value"), panels.forward_returns(p)))
+
+
+@query(f"WITH {R.PANEL}, {MOM}, {FWD}, x AS (SELECT date, value, fwd_ret FROM mom JOIN fwd USING (date, code) WHERE value IS NOT NULL AND fwd_ret IS NOT NULL), r AS (SELECT date, fwd_ret, {RANK.format(c='value')} AS p FROM x) SELECT date, round(avg(fwd_ret) FILTER (p > 0.8), 6) AS top, round(avg(fwd_ret) FILTER (p <= 0.2), 6) AS bottom, round(avg(fwd_ret), 6) AS universe FROM r GROUP BY date")
+def leg_decomposition(s, d):
+    p = R.panel(s, d)
+    return rounded(sd.leg_decomposition(panels.trailing_momentum(p).withColumnRenamed("momentum", "value"), panels.forward_returns(p)))
+
+
+@query(f"WITH {R.PANEL}, x AS (SELECT date, code, ln(close) AS a, ln(volume) AS b FROM panel), g AS (SELECT date, code, a, CASE WHEN count(*) OVER w >= 10 THEN a - covar_samp(a, b) OVER w / var_samp(b) OVER w * b END AS r FROM x WINDOW w AS (PARTITION BY date)) SELECT date, code, round(coalesce((r - avg(r) OVER w) / nullif(stddev_samp(r) OVER w, 0), CASE WHEN count(r) OVER w = 0 THEN a END), 5) AS orth FROM g WINDOW w AS (PARTITION BY date)")
+def orthogonalize(s, d):
+    x = R.panel(s, d).select("date", "code", F.log("close").alias("a"), F.log("volume").alias("b"))
+    return rounded(sd.orthogonalize(x, "a", "b").select("date", "code", "orth"), 5)
+
+
+@query(f"WITH {R.SLEEVES}, p AS (SELECT date, max(ret) FILTER (strategy = 's0') AS a, max(ret) FILTER (strategy = 's1') AS b FROM sleeves GROUP BY 1), g AS (SELECT regr_intercept(b, a) AS alpha, regr_slope(b, a) AS beta, regr_count(b, a) AS n, regr_sxx(b, a) AS sxx, regr_syy(b, a) AS syy, regr_sxy(b, a) AS sxy, regr_avgx(b, a) AS mx FROM p) SELECT round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(alpha / sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1.0 / n + mx * mx / sxx)), 5) AS t FROM g")
+def regression_alpha(s, d):
+    x = R.sleeves(s, d).groupBy("date").agg(F.max(F.when(F.col("strategy") == "s0", F.col("ret"))).alias("a"), F.max(F.when(F.col("strategy") == "s1", F.col("ret"))).alias("b"))
+    r = sd.regression_alpha(x, "b", "a")
+    return r.select(F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), F.round("t", 5).alias("t"))
+
+
+@query(f"WITH {R.SLEEVES} SELECT month(date)::INT AS month, round(avg(ret), 6) AS mean FROM sleeves GROUP BY 1 ORDER BY avg(ret) DESC, 1 LIMIT 3")
+def seasonality(s, d):
+    return rounded(sd.seasonality(R.sleeves(s, d)))
+
+
+@query(f"WITH {R.PANEL}, {R.SECTORS}, l AS (SELECT sector, code, row_number() OVER (PARTITION BY sector ORDER BY sum(turnover) DESC, code) AS k FROM panel JOIN sectors USING (code) GROUP BY 1, 2) SELECT x.sector, x.code AS a, y.code AS b FROM l x JOIN l y ON x.sector = y.sector AND x.code < y.code WHERE x.k <= 8 AND y.k <= 8")
+def pair_candidates(s, d):
+    t = R.panel(s, d).groupBy("code").agg(F.sum("turnover").alias("turnover"))
+    return sd.pair_candidates(t, R.sectors(s, d))
+
+
+@query(f"WITH {R.PANEL}, r AS (SELECT code, date, close, abs(close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1) AS m FROM panel) SELECT code, count(close) AS n, min(date) AS start, max(date) AS \"end\", count(*) FILTER (m > 0.08) AS jumps FROM r GROUP BY 1")
+def move_health(s, d):
+    return sd.move_health(R.panel(s, d))
+
+
+@query(f"WITH {R.PANEL}, w AS (SELECT code, min(date) AS s, min(date) + INTERVAL 5 MONTH AS e, CASE WHEN code % 2 = 0 THEN 1.0 ELSE -1.0 END AS side FROM panel GROUP BY 1), r AS (SELECT code, date, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM panel) SELECT w.code, side::DOUBLE AS side, s AS start, e::TIMESTAMP AS \"end\", round(side * (product(1 + coalesce(r, 0)) - 1), 5) AS total FROM w JOIN r ON r.code = w.code AND r.date > s AND r.date <= e GROUP BY w.code, side, s, e")
+def event_returns(s, d):
+    p = R.panel(s, d)
+    w = p.groupBy("code").agg(F.min("date").alias("start")).withColumns({"end": F.col("start") + F.expr("interval 5 months"), "side": F.when(F.col("code") % 2 == 0, 1.0).otherwise(-1.0)})
+    return rounded(sd.event_returns(p, w), 5)
+
+
+@query()
+def vol_target_weights(s, d):
+    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(-23, 0)
+    return rounded(sd.vol_target_weights(R.daily(s, d).select("date", F.stddev_samp("ret").over(w).alias("vol"))))
+
+
+# Streams
+
+
+def _streamed(s, d, make, name):
+    """Runs a stream over the events to its end, into a written table that is read back."""
+    import tempfile
+    import uuid
+
+    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    at = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    schema = R.read(s, d, "events").schema
+    source = s.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream wants a folder or a pattern
+    side = F.when(F.col("event_type") == "purchase", "buy").when(F.col("event_type") == "error", "sell")
+    ticks = source.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), (1 + F.col("user_id") % 10).cast("double").alias("volume"), side.alias("side"))
+    out = make(ticks)
+    q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query(ORACLE_SQL["dollar_bars"])
+def stream_dollar_bars(s, d):
+    from ..streaming.stateful import stream_bars
+
+    return rounded(_streamed(s, d, lambda t: stream_bars(t, 5000.0), "bars"))
+
+
+@query(ORACLE_SQL["tick_rule"])
+def stream_tick_rule(s, d):
+    from ..streaming.stateful import stream_tick_rule as rule
+
+    return _streamed(s, d, rule, "rule").select("symbol", "seq", "sign")
