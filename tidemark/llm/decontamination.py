@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,14 @@ class Templates:
         self.hashes, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
 
     def learn(self, word: str) -> None:
-        core = EDGES.sub("", word)
-        flags = END * bool(SENTENCE_END.search(word))
-        if not any(map(str.isalnum, core)):
+        core, flags, plain = word, 0, word.isalpha()
+        if not plain and word[-1] in ".,;:?!" and word[:-1].isalpha():  # most words need no pattern
+            core, flags, plain = word[:-1], END * (word[-1] in ".?!:"), True
+        if not plain:
+            core, flags = EDGES.sub("", word), END * bool(SENTENCE_END.search(word))
+        if not plain and not any(map(str.isalnum, core)):
             flags |= EMPTY
-        elif NUMBER.match(core) or QUANTITY.match(core):
+        elif not plain and (NUMBER.match(core) or QUANTITY.match(core)):
             flags |= NUM
         else:
             flags |= CAPITAL * (core[0].isupper() and not core.isupper()) | UNIT * (core.lower() in UNITS)
@@ -78,10 +82,10 @@ class Templates:
         if len(self.words) > MEMO:
             self.__init__()
         split = [t.split() for t in texts]
-        for new in {w for words in split for w in words} - self.index.keys():
+        words = list(chain.from_iterable(split))
+        for new in set(words) - self.index.keys():
             self.learn(new)
-        get = self.index.__getitem__
-        ids = np.fromiter((i for words in split for i in map(get, words)), np.int64, sum(map(len, split)))
+        ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         text = np.repeat(np.arange(len(texts)), [len(w) for w in split])
         flags = self.flags[ids]
         first = np.ones(len(ids), bool)
