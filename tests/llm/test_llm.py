@@ -321,6 +321,48 @@ def test_large_group_joins_at_its_origin(spark):
     assert simhash.one_of_each(docs(spark, texts)).count() <= 20
 
 
+def naive_groups(texts, least=0.8, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= least:
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))], pairs
+
+
+def edited(rnd, word, origin, n):
+    w = list(origin)
+    for at in rnd.sample(range(len(w)), n):
+        w[at] = word()
+    return " ".join(w)
+
+
+def test_copies_are_verified_like_all_pairs(spark):
+    """Groups whose pairs lie about the threshold: only pairs at 0.8 link, whatever the bytes say."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    origin, passage = [word() for _ in range(400)], [word() for _ in range(340)]
+    texts = [edited(rnd, word, origin, 7) for _ in range(150)]
+    for _ in range(120):
+        rest = [word() for _ in range(60)]
+        texts.append(" ".join(passage + rest))
+    texts += [edited(rnd, word, texts[150 + i].split(), 2) for i in range(20)]
+    want, _ = naive_groups(texts)
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs(spark, texts)).collect()}
+    assert kept >= set(want) and len(kept) > 200
+
+
 # 7 HTML
 
 

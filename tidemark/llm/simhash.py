@@ -172,51 +172,84 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, seed: int =
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Positions of the minwise fingerprint, those in one list's key, and the shared ones that make a pair.
-POSITIONS, IN_KEY, SHARED = 128, 4, 100
+#: Positions of the minwise fingerprint, those in one list's key, and the shared ones that make a candidate.
+POSITIONS, IN_KEY, SHARED = 128, 4, 80
+#: The similarity of shingle sets that makes a link.
+SIMILAR = 0.8
 
 
-def minwise(text: bytes, k: int, factors: np.ndarray) -> bytes:
-    """One byte per factor: the low byte of the least ``hash * factor`` over the distinct shingles."""
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct hashes of a text's ``k``-word shingles, in order."""
     words = text.lower().split()
+    return np.unique(np.concatenate(list(shingle_hashes(words, k, 42)))) if words else np.zeros(0, np.uint64)
+
+
+def minwise(hashes: np.ndarray, factors: np.ndarray) -> bytes:
+    """One byte per factor: the low byte of the least ``hash * factor``."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    if words:
-        for hashes in shingle_hashes(words, k, 42):
-            for at in range(0, len(hashes), 1024):
-                np.minimum(least, (hashes[at : at + 1024, None] * factors).min(axis=0), out=least)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * factors).min(axis=0), out=least)
     return ((least >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, fp, root) of every row, and the keys of the rows that stay: one of each group of copies.
 
-    Copies here are documents whose ``k``-word shingles have a similarity of
-    about 0.8 or more. Sign bits cannot find those: at 0.8, 3 to 11 of 64 bits
-    differ. The same index holds another fingerprint instead, 128 bytes that
-    each agree with a probability equal to the similarity; ``shared`` of 128
-    agreeing bytes make a link. Lists are keyed by four positions, so that a
-    pair at 0.8 meets in one of the 32 lists with a probability over 0.9999.
-    In a list over ``LIST_MAX`` members every member is held against one only,
-    the one whose 32 lists are the fullest: that is the text the others derive
-    from, if it is there. Such lists are an approximation; components and the
-    other lists join what one list misses.
-
-    Texts without words are copies of each other. Of a group the smallest id
-    stays; a null id counts as largest. ``key`` is a hash of id and text.
+    Copies here are documents whose sets of ``k``-word shingles have a (Jaccard)
+    similarity of ``threshold`` or more. Sign bits cannot find those: at 0.8, 3 to
+    11 of 64 bits differ. The same index holds another fingerprint instead, 128
+    bytes that each agree with a probability equal to the similarity. It only
+    proposes pairs: lists are keyed by four positions, so that a pair at 0.8
+    meets in one of the 32 lists with a probability over 0.9999999, and has
+    ``SHARED`` agreeing bytes with one over 0.99999. Whatever is proposed is
+    verified on its whole sets of shingles before it links.
+
+    Lists of up to ``LIST_MAX`` members propose all their pairs. In larger lists
+    every member is first held against the one whose 32 lists are the fullest
+    (the text that the others derive from, if it is there). Such lists are an
+    approximation.
+
+    Texts without words are copies of each other, and so are texts of the same
+    shingles, which ``fp`` tells. Of a group the smallest id stays; a null id
+    counts as largest. ``key`` is a hash of id and text.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     factors = np.random.default_rng(5).integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def fp_of(sets: list[np.ndarray]) -> pa.Array:
+        return pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sketches = [minwise(t, k, factors) for t in utf8(b.column(2))]
-            fps = np.array([xxhash.xxh64_intdigest(x) for x in sketches], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "sketch"])
+            sets = [shingle_set(t, k) for t in utf8(b.column(2))]
+            sketches = pa.array([minwise(x, factors) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp_of(sets), pa.array(map(len, sets), pa.int64()), sketches], ["doc_id", "key", "fp", "size", "sketch"])
+
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, k) for t in utf8(b.column(0))]
+            yield pa.RecordBatch.from_arrays([fp_of(sets), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "hashes"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= SHARED))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
+            good = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in pairs]
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(arrow_map(slim, run, "doc_id long, key long, fp long, sketch binary"))
+    rows = scratch.keep(arrow_map(slim, run, "doc_id long, key long, fp long, size long, sketch binary"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    texts = scratch.keep(rows.groupBy("fp").agg(F.min(order).alias("first"), F.first("sketch").alias("sketch")))
+    texts = scratch.keep(rows.groupBy("fp").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS // IN_KEY - 1)), lambda i: F.struct(i.alias("list"), F.substring("sketch", i * IN_KEY + 1, F.lit(IN_KEY)).alias("key")))
     postings = scratch.keep(texts.select("fp", F.explode(keys).alias("e")).select("e.list", "e.key", "fp"))
     sizes = postings.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -228,17 +261,19 @@ def near_copies(docs: DataFrame, k: int = 5, shared: int = SHARED) -> tuple[Data
     centers = many.join(popular, "fp").groupBy("list", "key").agg(F.max_by("fp", F.struct("popularity", "fp")).alias("c"))
     stars = many.join(centers, ["list", "key"]).where("c <> fp").select(F.least("c", "fp").alias("u"), F.greatest("c", "fp").alias("v"))
     met = scratch.keep(pairs.unionByName(stars).distinct())
-    sketch = texts.select("fp", "sketch")
-    both = met.join(sketch.toDF("u", "a"), "u").join(sketch.toDF("v", "b"), "v")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
-            yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= shared))
-
-    linked = arrow_map(both.select("u", "v", "a", "b"), tally, "u long, v long")
-    roots = components(linked, scratch)
+    sketch = texts.select("fp", "size", "sketch")
+    both = met.join(sketch.toDF("u", "m", "a"), "u").join(sketch.toDF("v", "n", "b"), "v").where(F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9)
+    proposed = scratch.keep(arrow_map(both.select("u", "v", "a", "b"), tally, "u long, v long"))
+
+    # whole sets, of texts in a proposed pair
+    wanted = proposed.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    wanted = texts.join(wanted, "fp", "left_semi").select(F.col("first.key").alias("key"))
+    read = slim.select("key", "text").join(wanted, "key", "left_semi").select("text")
+    sets = scratch.keep(arrow_map(read, hashes_of, "fp long, hashes binary").groupBy("fp").agg(F.first("hashes").alias("hashes")))
+    both = proposed.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    roots = components(arrow_map(both.select("u", "v", "a", "b"), verify, "u long, v long"), scratch)
     rooted = scratch.keep(texts.join(roots, texts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return rows.select("doc_id", "key", "fp").join(rooted.select("fp", "root"), "fp"), scratch.keep(kept)
 
@@ -247,9 +282,9 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, shared: int = SHARED) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near copies does."""
-    rows, kept = near_copies(docs, k, shared)
+    rows, kept = near_copies(docs, k, threshold)
     name = next(f"row_key{i}" for i in range(len(docs.columns) + 1) if f"row_key{i}" not in docs.columns)
     mine = docs.withColumn(name, row_key()).join(kept.withColumnRenamed("key", name), name, "left_semi")
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(kept, "key", "left_semi").select(F.col("key").alias(name))
