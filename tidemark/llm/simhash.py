@@ -176,6 +176,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, seed: int =
 POSITIONS, IN_KEY, SHARED = 128, 4, 80
 #: The similarity of shingle sets that makes a link.
 SIMILAR = 0.8
+#: Members and shingles of a block of a large list; candidates of two blocks that are verified one by one.
+BLOCK, BLOCK_SHINGLES, ONE_BY_ONE = 256, 1 << 18, 64
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -197,6 +199,76 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def shared_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes every set of ``a`` shares with every set of ``b``: a product over the hashes that both sides have."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(common), 4096):
+        part, sides = common[at : at + 4096], []
+        for values, sets in ((x, a), (y, b)):
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            col = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[col] == values
+            m = np.zeros((len(sets), len(part)), np.float32)
+            m[row[hit], col[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def block_links(number: int, a: list[dict], b: list[dict] | None, threshold: float) -> list[tuple[int, int]]:
+    """Links between the roots of two blocks of list ``number``, or inside one: all pairs of different roots are looked at.
+
+    A pair that an earlier list has, too, is left to that list. The links connect
+    what all similar pairs would, and are fewer than the roots.
+    """
+    same = b is None
+    sides = []
+    for members in (a, a if same else b):
+        sketch = np.frombuffer(b"".join(x["sketch"] for x in members), np.uint8).reshape(-1, POSITIONS)
+        sets = [np.frombuffer(x["hashes"], np.uint64) for x in members]
+        sides.append((np.array([x["root"] for x in members], np.int64), sketch, sets, np.array([len(s) for s in sets])))
+    (ru, su, hu, nu), (rv, sv, hv, nv) = sides
+    open_ = ru[:, None] != rv
+    if same:
+        open_ = np.triu(open_, 1)
+    open_ &= np.minimum(nu[:, None], nv) >= threshold * np.maximum(nu[:, None], nv) - 1e-9
+    i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(i):
+        return []
+    x, y = su[i], sv[j]
+    shared = np.zeros((len(i), len(j)), np.uint8)
+    for p in range(POSITIONS):
+        shared += x[:, p, None] == y[:, p]
+    near = open_[np.ix_(i, j)] & (shared >= SHARED)
+    x, y = x.view(np.uint32), y.view(np.uint32)
+    for earlier in range(number):
+        near &= x[:, earlier, None] != y[:, earlier]
+    u, v = np.nonzero(near)
+    if len(u) > ONE_BY_ONE:
+        i, u = i[np.unique(u)], np.unique(u, return_inverse=True)[1]
+        j, v = j[np.unique(v)], np.unique(v, return_inverse=True)[1]
+        both = shared_shingles([hu[k] for k in i], [hv[k] for k in j])[u, v].astype(np.float64)
+        good = both / (nu[i[u]] + nv[j[v]] - both) >= threshold
+    else:
+        good = np.array([similarity(hu[p], hv[q]) >= threshold for p, q in zip(i[u], j[v])], bool)
+    above: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while (up := above.get(r, r)) != r:
+            above[r] = r = above.get(up, up)
+        return r
+
+    out = []
+    for p, q in zip(ru[i[u[good]]].tolist(), rv[j[v[good]]].tolist()):
+        p, q = top(p), top(q)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            out.append((min(p, q), max(p, q)))
+    return out
+
+
 def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, fp, root) of every row, and the keys of the rows that stay: one of each group of copies.
 
@@ -211,8 +283,9 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
 
     Lists of up to ``LIST_MAX`` members propose all their pairs. In larger lists
     every member is first held against the one whose 32 lists are the fullest
-    (the text that the others derive from, if it is there). Such lists are an
-    approximation.
+    (the text that the others derive from, if it is there). That settles most of
+    them; whatever pair of such a list is then still in different components is
+    looked at, block by block.
 
     Texts without words are copies of each other, and so are texts of the same
     shingles, which ``fp`` tells. Of a group the smallest id stays; a null id
@@ -246,6 +319,17 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
             good = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in pairs]
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for number, lo, hi, members in zip(*(b.column(i) for i in range(4))):
+                members, lo, hi = members.as_py(), lo.as_py(), hi.as_py()
+                low = [x for x in members if x["block"] == lo]
+                high = None if lo == hi else [x for x in members if x["block"] == hi]
+                if low and (high or lo == hi):
+                    found += block_links(number.as_py(), low, high, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(arrow_map(slim, run, "doc_id long, key long, fp long, size long, sketch binary"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
@@ -265,15 +349,26 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     both = met.join(sketch.toDF("u", "m", "a"), "u").join(sketch.toDF("v", "n", "b"), "v").where(F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9)
     proposed = scratch.keep(arrow_map(both.select("u", "v", "a", "b"), tally, "u long, v long"))
 
-    # whole sets, of texts in a proposed pair
-    wanted = proposed.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    # whole sets, of texts in a proposed pair or a large list
+    wanted = proposed.select(F.explode(F.array("u", "v")).alias("fp")).union(many.select("fp")).distinct()
     wanted = texts.join(wanted, "fp", "left_semi").select(F.col("first.key").alias("key"))
     read = slim.select("key", "text").join(wanted, "key", "left_semi").select("text")
     sets = scratch.keep(arrow_map(read, hashes_of, "fp long, hashes binary").groupBy("fp").agg(F.first("hashes").alias("hashes")))
     both = proposed.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     roots = components(arrow_map(both.select("u", "v", "a", "b"), verify, "u long, v long"), scratch)
-    rooted = scratch.keep(texts.join(roots, texts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-
+    rooted = scratch.keep(texts.join(roots, texts.fp == roots.node, "left").select("fp", "first", "size", F.coalesce("root", "fp").alias("root")))
+
+    # large lists that still hold several components
+    members = many.select("list", "key", "fp").join(rooted.select("fp", "root", "size"), "fp")
+    split = members.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"), (F.min("root") < F.max("root")).alias("open")).where("open")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    members = members.join(split.select("list", "key", blocks), ["list", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    members = members.join(sketch.select("fp", "sketch"), "fp").join(sets, "fp")
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = members.groupBy("list", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", "root", "sketch", "hashes")).alias("members"))
+    late = components(arrow_map(met.select("list", "lo", "hi", "members"), compare, "u long, v long"), scratch)
+    late = late.withColumnRenamed("root", "over")
+    rooted = scratch.keep(rooted.join(late, rooted.root == late.node, "left").select("fp", "first", F.coalesce("over", "root").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return rows.select("doc_id", "key", "fp").join(rooted.select("fp", "root"), "fp"), scratch.keep(kept)
 
