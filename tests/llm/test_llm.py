@@ -92,6 +92,14 @@ def test_leaks(spark):
     assert clean.columns == docs(spark, []).columns and {r["doc_id"] for r in clean.collect()}.isdisjoint({0, 1, 4, 7}) and clean.where("doc_id = 3").count() == 1
 
 
+def test_leaks_of_items_dense_in_slots(spark):
+    items = ["What is 12 plus 7?", "Compute 12 + 7 - 3 * 4.", "add 1 2 3 4 5 6 7 8 9 10"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [*(f"before it {t} and after it" for t in items), "before it What is 13 plus 7? and after it", "add 1 2 3 4 5 6 7 8 and 9 10"]
+    got = {(r["doc_id"], r["item_id"], r["exact"]) for r in decontamination.find_leaks(docs(spark, texts), bench).collect()}
+    assert got == {(0, 0, True), (1, 1, True), (2, 2, True)}
+
+
 def test_leaks_brute_force(spark, sample, rows):
     bench = spark.read.parquet(f"{D}/benchmark.parquet")
     words = lambda t: re.findall(r"\w+", (t or "").lower())

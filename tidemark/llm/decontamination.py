@@ -13,7 +13,9 @@ benchmark's window hashes. Its size is fixed; it lets a few windows through
 that the join then drops, and never stops one that would join.
 
 Defined results: null or empty texts hold nothing; items with fewer tokens than
-a window have one window of their own length, items under ``LEAST`` tokens
+a window have one window of their own length; items whose windows all have too
+many slots for a template are looked for word by word, slots included, and must
+be there with all their windows; items under ``LEAST`` tokens
 can't be told from chance and match nothing; rows that share an id count as one
 document; repeated items give a row each.
 """
@@ -34,6 +36,8 @@ from .common import Scratch, arrow_map, table, utf8
 
 WIDTH, LEAST, LITERALS, SHARE, CONSISTENT = 8, 4, 4, 0.4, 0.75
 BITS = 1 << 22
+#: Added to the width of windows of words, not of templates.
+VERBATIM = 100
 MEMO = 400_000
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?$")
 #: What surrounds a word, but for signs in front of a digit; the end of a sentence.
@@ -130,6 +134,11 @@ def _rows(ids: pa.Array, text: np.ndarray, width: int, at: np.ndarray, hashes: n
 _templates = Templates()
 
 
+def verbatim_windows(hashes: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all windows of words, slots with their values."""
+    return window_hashes(hashes + np.uint64(VERBATIM), np.zeros(len(hashes), bool), text, width)
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Every window of every item; short items have one of their own length."""
 
@@ -138,10 +147,16 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             word, h, slot, text = _templates.read([t.decode() for t in utf8(b.column(1))])
             size = np.bincount(text, minlength=b.num_rows)
             first = np.cumsum(size) - size
+            bare = size >= LEAST
             for width in range(LEAST, WIDTH + 1):
                 at, hashes = window_hashes(h, slot, text, width)
                 use = size[text[at]] >= WIDTH if width == WIDTH else size[text[at]] == width
+                bare[text[at[use]]] = False
                 yield _rows(b.column(0), text, width, at[use], hashes[use], first, _templates.words, word, slot)
+            for width in range(LEAST, WIDTH + 1):
+                at, hashes = verbatim_windows(_templates.hashes[word], text, width)
+                use = bare[text[at]] & (size[text[at]] >= WIDTH if width == WIDTH else size[text[at]] == width)
+                yield _rows(b.column(0), text, width + VERBATIM, at[use], hashes[use], first, _templates.words, word, np.zeros(len(word), bool))
 
     return arrow_map(benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, WINDOWS)
 
@@ -157,11 +172,11 @@ def document_windows(docs: DataFrame, id_col: str, widths: list[int], bitmap: np
             size = np.bincount(text, minlength=b.num_rows)
             first = np.cumsum(size) - size
             for width in widths:
-                at, hashes = window_hashes(h, slot, text, width)
+                at, hashes = window_hashes(h, slot, text, width) if width < VERBATIM else verbatim_windows(_templates.hashes[word], text, width - VERBATIM)
                 ok = bits[hashes & np.uint64(BITS - 1)]
                 at, hashes = at[ok], hashes[ok]
                 _, once = np.unique(np.stack([text[at].astype(np.uint64), hashes]), axis=1, return_index=True) if len(at) else (None, np.zeros(0, np.int64))
-                yield _rows(b.column(0), text, width, at[once], hashes[once], first, _templates.words, word, slot)
+                yield _rows(b.column(0), text, width, at[once], hashes[once], first, _templates.words, word, slot if width < VERBATIM else np.zeros(len(word), bool))
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, WINDOWS)
 
@@ -173,20 +188,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", sh
     bitmap = np.zeros(BITS, bool)
     bins = items.select(F.col("hash").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("bin")).distinct()  # BITS at most
     bitmap[np.array([r["bin"] for r in bins.collect()], np.int64)] = True
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WIDTH - LEAST + 1 at most
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # 2 * (WIDTH - LEAST + 1) at most
     own = document_windows(docs, id_col, widths, bitmap)
     hits = own.toDF("doc_id", "width", "hash", "doc_pos", "b").join(items.toDF("item_id", "width", "hash", "pos", "a"), ["width", "hash"])
     hits = hits.select("doc_id", "item_id", "pos", F.arrays_zip("a", "b").alias("slots"))
     # one row per document, item and place of the item, then one per document and item: an item bounds what is collected
     places = hits.groupBy("doc_id", "item_id", "pos").agg(F.first("slots").alias("slots"))
     pairs = places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    sizes = items.groupBy("id").agg(F.countDistinct("pos").alias("n_windows")).withColumnRenamed("id", "item_id")
+    sizes = items.groupBy("id").agg(F.countDistinct("pos").alias("n_windows"), F.when(F.max("width") > VERBATIM, 1.0).otherwise(share).alias("least")).withColumnRenamed("id", "item_id")
     pairs = pairs.join(sizes, "item_id").withColumn("share", F.col("matched") / F.col("n_windows"))
     slots = F.size("slots")
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
     pairs = pairs.withColumn("consistency", F.when(slots == 0, 1.0).otherwise(values / slots))
     pairs = pairs.withColumn("exact", F.forall("slots", lambda s: s["a"] == s["b"]))
-    found = pairs.where((F.col("share") >= share) & (F.col("consistency") >= CONSISTENT))
+    found = pairs.where((F.col("share") >= F.col("least")) & (F.col("consistency") >= CONSISTENT))
     return found.select("doc_id", "item_id", "n_windows", "matched", "share", "consistency", "exact")
 
 
