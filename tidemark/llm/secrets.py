@@ -1,19 +1,34 @@
 """Secret scans: known shapes, and a battery of randomness tests.
 
-Known shapes are assignments, access keys and hexadecimal runs. Besides, every
-run of 20 or more characters of an encoding's alphabet is tested: its encoding
-is inferred, the chi-squared statistic measures how even its alphabet is used,
-a runs test and a serial-correlation test look for order. The p-value of a run
-is the probability that text of its length would look as even as that; it
-falls with the length. Runs that fail the tests of order are not secrets.
-
-The false-discovery rate over all runs of all documents is held at ``FDR`` by
+Known shapes are assignments, access keys and hexadecimal runs. What they leave
+of a run of 20 or more characters of an encoding is tested besides, whole and in
+pieces: without ``+ /`` (as base64url), without ``- _`` (as base64), and letters
+and digits alone, so that a key counts for itself within an address or a path.
+A ``=`` ends a run, but for padding. A piece's encoding is the smallest alphabet
+that holds it. Four tests then ask whether it could be something else than
+random, each with a p-value that is small for random characters only:
+
+- chi-squared uniformity: characters of a ``PART`` of the alphabet would be used as evenly,
+- likelihood: text would have characters as rare in text as these (the
+  likelihood ratio of the even to the text's use bounds that probability),
+- serial correlation: neighbours that go together (``ORDERED``) would look as unrelated,
+- runs: a sequence that switches between the alphabet's halves rarely, or nearly
+  always (``SWITCH``), would switch as often.
+
+A secret must be none of the four, so the largest p-value is the piece's (an
+intersection-union test), times the number of ways its run was cut. Of
+overlapping pieces the one with the least value counts.
+
+The false-discovery rate over all pieces of all documents is held at ``FDR`` by
 the step-up rule on weighted p-values, the weights growing with length. What it
 needs is a histogram of p-values by length class, ``P_BINS`` x ``CLASSES``
 counts whatever the corpus holds; a first scan counts it, a second one decides.
 
-Defined results: a null or empty text has no spans; copies have equal spans;
-spans are in code points, ends exclusive; texts are scanned whole.
+Defined results: a null or empty text has no spans, an empty table no rows;
+copies and rows with the same or a null id are scanned each for itself and have
+equal spans; only the id and the text are read, so that further columns may have
+any name (``redact_secrets`` hands them through). Spans are in code points, ends
+exclusive; texts and runs are tested whole, however long.
 """
 
 from __future__ import annotations
@@ -23,6 +38,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +56,34 @@ KINDS = ["assign", "access", "hex", "random"]
 #: One of these stands in every assignment.
 WORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 
-LEAST_RUN, LONGEST_RUN = 20, 4096
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+LEAST_RUN = 20
+RUN = re.compile(rf"([A-Za-z0-9+/_-]{{{LEAST_RUN},}})(={{0,2}})")
+#: How a run is cut into pieces.
+CUTS = [re.compile(rf"[{chars}]{{{LEAST_RUN},}}") for chars in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
 #: Characters of runs stay, the others become spaces.
-FOLD = bytes(b if chr(b).isalnum() and b < 128 or chr(b) in "+/_=-" else 32 for b in range(256))
-#: Alphabets from small to large: the first that holds a run is its encoding.
+FOLD = bytes(b if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 32 for b in range(256))
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets from small to large: the first that holds a piece is its encoding.
 ENCODINGS = {
-    "hex": "0123456789abcdef",
-    "HEX": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
-    "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
-    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "hex": DIGITS + "abcdef",
+    "HEX": DIGITS + "ABCDEF",
+    "lower letters": LOWER,
+    "upper letters": UPPER,
+    "base32": UPPER + "234567",
+    "lower": LOWER + DIGITS,
+    "upper": UPPER + DIGITS,
+    "letters": UPPER + LOWER,
+    "base62": UPPER + LOWER + DIGITS,
+    "base64": UPPER + LOWER + DIGITS + "+/",
+    "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 # Per cent of the letters a to z in running text.
 LETTERS = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074]
 #: The share of a character class in text that could look like a run.
 DIGIT_SHARE, OTHER_SHARE, UPPER_SHARE = 0.10, 0.02, 0.10
-FDR, ORDER, P_BINS, CLASSES = 0.01, 1e-4, 400, 8
+#: What random characters are told from: the part of an alphabet, the correlation, the least and largest chance of a switch.
+PART, ORDERED, SWITCH = 0.2, 0.9, (0.1, 0.95)
+FDR, P_BINS, CLASSES = 0.01, 400, 8
 
 
 def normal_tail(z: float) -> float:
@@ -67,52 +91,61 @@ def normal_tail(z: float) -> float:
 
 
 def _text_share(alphabet: str) -> np.ndarray:
-    share = np.array([LETTERS[ord(c.lower()) - 97] * (1.0 if c.islower() or alphabet.lower() == alphabet or alphabet.upper() == alphabet else UPPER_SHARE) if c.isalpha() else 0.0 for c in alphabet])
-    share *= (1 - DIGIT_SHARE) / share.sum()
+    one_case = alphabet.lower() == alphabet or alphabet.upper() == alphabet
+    share = np.array([LETTERS[ord(c.lower()) - 97] * (1.0 if c.islower() or one_case else UPPER_SHARE) if c.isalpha() else 0.0 for c in alphabet])
     digits, others = [c.isdigit() for c in alphabet], [not c.isalnum() for c in alphabet]
+    share *= (1 - DIGIT_SHARE * any(digits)) / share.sum()
     share[digits] = DIGIT_SHARE / max(1, sum(digits))
     if any(others):
         share[others] = OTHER_SHARE / sum(others)
     return share / share.sum()
 
 
-#: Per encoding: ranks of the characters, their number, and how much more uneven text is, per character.
-TABLES = {name: ({c: i for i, c in enumerate(a)}, len(a), float(len(a) * (_text_share(a) ** 2).sum() - 1)) for name, a in ENCODINGS.items()}
+def _table(alphabet: str) -> tuple[np.ndarray, int, np.ndarray]:
+    rank = np.full(128, -1, np.int64)
+    rank[[ord(c) for c in alphabet]] = range(len(alphabet))
+    return rank, len(alphabet), -np.log(len(alphabet) * _text_share(alphabet))
 
 
-def encoding_of(run: str) -> str | None:
-    used = set(run.rstrip("="))
-    if not any(c.isdigit() for c in used) or not any(c.isalpha() for c in used):
-        return None
-    return next((name for name, (rank, _, _) in TABLES.items() if used <= rank.keys()), None)
+#: Per encoding: ranks by character, their number, and the logarithm of how much likelier a character is than in text.
+TABLES = {name: _table(a) for name, a in ENCODINGS.items()}
+SETS = {name: frozenset(a) for name, a in ENCODINGS.items()}
+
+
+def encoding_of(piece: str) -> str | None:
+    used = set(piece)
+    return next((name for name, chars in SETS.items() if used <= chars), None)
+
+
+def binomial_tail(n: int, k: int, p: float) -> float:
+    """The probability of ``k`` or more of ``n``: the bound by relative entropy, 1 below the mean."""
+    share = k / n
+    if share <= p:
+        return 1.0
+    away = share * math.log(share / p) + ((1 - share) * math.log((1 - share) / (1 - p)) if share < 1 else 0.0)
+    return math.exp(-n * away)
 
 
-def battery(run: str) -> tuple[str, float, float, float] | None:
-    """(encoding, p of text being as even, p of the runs test, p of the serial correlation); None without an encoding."""
-    name = encoding_of(run)
-    if name is None:
+def battery(piece: str) -> tuple[str, float, float, float, float] | None:
+    """(encoding, p of uniformity, likelihood, serial correlation, runs), small for random characters; None without an encoding."""
+    name = encoding_of(piece)
+    if name is None or len(piece) < LEAST_RUN:
         return None
-    rank, k, excess = TABLES[name]
-    x = np.array([rank[c] for c in run.rstrip("=")], float)
+    rank, k, likelier = TABLES[name]
+    x = rank[np.frombuffer(piece.encode(), np.uint8)]
     n = len(x)
-    if n < LEAST_RUN:
-        return None
-    counts = np.array(list(Counter(x.tolist()).values()), float)
-    chi2 = k / n * (counts**2).sum() - n
-    mean, var = k - 1 + n * excess, 2 * (k - 1) + 4 * n * excess
-    even = normal_tail((mean - chi2) / math.sqrt(var))
-    high = x >= k / 2
-    n1 = int(high.sum())
-    n0 = n - n1
-    if n1 == 0 or n0 == 0:
-        return name, even, 0.0, 0.0
-    runs = 1 + int((high[1:] != high[:-1]).sum())
-    expected = 2 * n0 * n1 / n + 1
-    spread = max(1e-9, (expected - 1) * (expected - 2) / (n - 1))
-    p_runs = 2 * normal_tail(abs(runs - expected) / math.sqrt(spread))
+    counts = np.bincount(x, minlength=k).astype(float)
+    chi2 = k / n * float((counts**2).sum()) - n
+    excess = n * (1 / PART - 1)
+    even = normal_tail((k - 1 + excess - chi2) / math.sqrt(2 * (k - 1) + 4 * excess))
+    text = math.exp(-max(0.0, float(counts @ likelier)))
     c = x - x.mean()
-    r = float((c[1:] * c[:-1]).sum() / max(1e-9, (c * c).sum()))
-    return name, even, p_runs, 2 * normal_tail(abs(r) * math.sqrt(n))
+    r = abs(float((c[1:] * c[:-1]).sum()) / max(1e-9, float((c * c).sum())))
+    serial = normal_tail((ORDERED - r) / math.sqrt((1 - ORDERED**2) / n))
+    high = x >= k / 2
+    switches = int((high[1:] != high[:-1]).sum())
+    runs = max(binomial_tail(n - 1, switches, SWITCH[0]), binomial_tail(n - 1, n - 1 - switches, 1 - SWITCH[1]))
+    return name, even, text, serial, runs
 
 
 def length_class(n: int) -> int:
@@ -121,26 +154,39 @@ def length_class(n: int) -> int:
 
 def p_bin(p: float) -> int:
     """Bins of -log10 p, twenty a unit; a bin's p is its upper end."""
-    return min(P_BINS - 1, int(-math.log10(max(p, 1e-300)) * 20))
+    return min(P_BINS - 1, int(-math.log10(min(1.0, max(p, 1e-300))) * 20))
 
 
 def weight(c: int) -> float:
     return 2.0 ** (c / 4)
 
 
+def pieces(run: str) -> list[tuple[int, int]]:
+    """The run in one piece, and what the cuts leave of it; each piece once."""
+    found = {(0, len(run)): None} | {m.span(): None for cut in CUTS for m in cut.finditer(run)}
+    return list(found)
+
+
 def tested(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, length class, bin of p) of each run that is in no known shape; bin -1 if it shows order."""
+    """(start, end, length class, bin of p) of the pieces of what the known shapes leave of each run."""
+    taken = sorted((s, e) for s, e, _ in base)
+    at = 0
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        run = m.group()
-        parts = [p for at in range(0, len(run), LONGEST_RUN) if len(p := run[at : at + LONGEST_RUN]) >= LEAST_RUN]
-        got = [battery(p) for p in parts]
-        if not got or any(g is None for g in got):
-            continue
-        worst = min(p_bin(g[1]) for g in got)
-        ordered = any(min(g[2], g[3]) < ORDER for g in got)
-        yield m.start(), m.end(), length_class(len(run)), -1 if ordered else worst
+        start, body, end = m.start(), m.end(1), m.end()
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        for s, e in [*takewhile(lambda x: x[0] < end, taken[at:]), (end, end)]:
+            lo, hi, start = start, min(s, body), max(start, e)
+            if hi - lo < LEAST_RUN:
+                continue
+            cut = pieces(text[lo:hi])
+            scored = [(max(got[1:]) * min(len(cut), 1 + len(CUTS)), i, j) for i, j in cut if (got := battery(text[lo + i : lo + j]))]
+            free = np.ones(hi - lo, bool)
+            for p, i, j in sorted(scored):
+                if free[i:j].all():
+                    free[i:j] = False
+                    pad = len(m.group(2)) if lo + j == body and s >= end and (j - i + len(m.group(2))) % 4 == 0 else 0
+                    yield lo + i, lo + j + pad, length_class(j - i), p_bin(p)
 
 
 def known(text: str, has_word: bool) -> list[tuple[int, int, str]]:
@@ -165,12 +211,12 @@ def scan(raw: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, i
 
 
 def discovery(counts: dict[tuple[int, int], int]) -> dict[int, int]:
-    """The least bin that is a discovery, per length class, from counts by (class, bin); bin -1 counts as p = 1."""
+    """The least bin that is a discovery, per length class, from counts by (class, bin)."""
     total = sum(counts.values())
     if not total:
         return {}
     mean = sum(n * weight(c) for (c, _), n in counts.items()) / total
-    q = sorted((10 ** (-b / 20) / (weight(c) / mean) if b >= 0 else math.inf, n) for (c, b), n in counts.items())
+    q = sorted((10 ** (-b / 20) / (weight(c) / mean), n) for (c, b), n in counts.items())
     seen, cut = 0, 0.0
     for i, (value, n) in enumerate(q):
         seen += n
