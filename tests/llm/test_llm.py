@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from other_pages import OtherPages
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontamination, html_extraction, html_training, language_id, licenses, media, packing, quality, secrets, simhash, token_counts
@@ -434,12 +436,12 @@ def test_large_lists_miss_no_pair(spark, monkeypatch, block):
 
 @pytest.fixture(scope="module")
 def trees():
-    return html_training.fit(500)
+    return html_training.fit()
 
 
 def extract(trees, html):
     p = html_extraction.Page(html)
-    return p.text(p.decode(trees.margin(p.features())))
+    return p.text(p.decode(trees.margin(p.features()), html_extraction.CUT))
 
 
 def test_html_held_out(trees):
@@ -447,10 +449,78 @@ def test_html_held_out(trees):
     for _ in range(80):
         p = html_extraction.Page(maker.page())
         want = np.array([True, *('data-k="1"' in a for a in p.attrs[1:])])
-        right.append(np.mean(p.decode(trees.margin(p.features())) == want))
+        right.append(np.mean(p.decode(trees.margin(p.features()), html_extraction.CUT) == want))
     assert np.mean(right) > 0.97
 
 
+def test_html_of_layouts_never_trained_on(trees):
+    maker = OtherPages(31)
+    right = [extract(trees, html) == text for html, text in (maker.page() for _ in range(200))]
+    assert np.mean(right) >= 0.95
+
+
+PARTS = [f"Paragraph {i} of the text, it goes on for a while here, and then it ends." for i in range(4)]
+ARTICLE = "<article><h1>Title of it</h1>" + "".join(f"<p>{p}</p>" for p in PARTS) + "</article>"
+FRAME = "<html><head><title>t</title></head><body {}><nav><ul><li><a href='/a'>Home</a><li><a href='/b'>About us</a></ul></nav>{}<footer>&copy; 2024 Someone</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(FRAME.format(f"class='{c}'", ARTICLE) for c in ("has-sidebar", "comments-open", "post-template single comments-open", "ad-free footer")),
+        FRAME.format("", f"<div class='post-with-comments'>{ARTICLE}</div>"),
+        FRAME.format("", ARTICLE.replace("<h1>", "<header><h1>").replace("</h1>", "</h1></header>")),
+        FRAME.format("", ARTICLE).replace("</head>", ""),
+        "<html><body><nav><a href='/x'>Home</a></nav>" + ARTICLE,
+        "<table><tr><td><a href='/a'>Home</a> <a href='/b'>About us</a></td><td>" + ARTICLE[9:-10] + "</td></tr></table>",
+    ],
+)
+def test_html_with_misleading_frames(trees, page):
+    assert extract(trees, page) == "\n".join(["Title of it", *PARTS])
+
+
+def test_html_keeps_links_of_an_article(trees):
+    links = "<ul><li><a href='/1'>First source</a></li><li><a href='/2'>Second source</a></li></ul></article>"
+    assert extract(trees, FRAME.format("", ARTICLE.replace("</article>", links))).endswith("ends.\nFirst source\nSecond source")
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>T</title><body><p>Hello <svg><path/><text>no</text></svg>world<p>Two", "Hello world\nTwo"),
+        ("<head><meta charset=x>text directly<p>a", "text directly\na"),
+        ("<noscript>a<p>b", "a\nb"),
+        ("<noscript><p>enable</p></noscript>c", "c"),
+        ("<p>x <math><mi>a</mi><mo>+</mo><mn>2</mn></math> y", "x a+2 y"),
+        ("<button>go<p>text", "go\ntext"),
+        ("<table><tr><td>a<td>b<tr><td>c<p>d<p>e</table>f", "a\nb\nc\nd\ne\nf"),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),
+        ("<p>a<script>var x='</p>'</script>b</p>c", "ab\nc"),
+        ("a < b and c > d", "a < b and c > d"),
+        ("<p title='a>b'>x</p>", "x"),
+        ("<![CDATA[a & b]]>c", "a & bc"),
+        ("a<!-- x", "a"),
+        ("<dl><dt>a<dd>b<dt>c</dl>", "a\nb\nc"),
+        ("x<br/>y<hr>z", "x y\nz"),
+        ("<textarea>a</textarea>b", "b"),
+    ],
+)
+def test_html_reading(html, text):
+    p = html_extraction.Page(html)
+    assert p.text(np.ones(len(p.parent), bool)) == text
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<![CDATA[ x ", "<![CDATA[ x> ", "<!", "<a ", "<a '>' ", "<p><b>", "<section><li>", "<div><td>", "<script></script ", "<select><option>", '<a b="x>', "<noscript>x", "<b></i>"])
+def test_html_in_linear_time(piece):
+    """Four times the page takes about four times as long, not sixteen times."""
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        html_extraction.Page(piece * (n // 2)).features()
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * max(took[0], 0.05)
+
+
 def test_html_decoding_is_the_best_choice():
     rng = np.random.default_rng(8)
     p = html_extraction.Page("<div><ul><li>a<li>b</ul><p>c<p>d</div><div><p>e</div>")
