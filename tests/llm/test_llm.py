@@ -103,6 +103,111 @@ def test_leaks_of_items_dense_in_slots(spark):
     assert got == {(0, 0, True), (1, 1, True), (2, 2, True)}
 
 
+def test_leaks_of_names_that_begin_sentences(spark):
+    item = "Anna has 3 red apples. Anna buys 4 more. How many has Anna now?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("Anna", "Ben"), "he said that Anna has 3 red apples. Anna buys 4 more. How many has Anna now?", item.replace("Anna", "Ben", 1).replace("has Anna", "has Carl"), "so anna has red apples"]
+    got = {r["doc_id"]: r["exact"] for r in decontamination.find_leaks(docs(spark, texts), bench).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_leaks_by_the_best_place(spark):
+    """A look-alike with inconsistent values, before or after the question, doesn't hide it."""
+    item = "a farmer sold 40 sheep and 40 goats for 40 coins, kept 40 hens, lost 40 ducks and bought 40 geese at the fair"
+    other = re.sub("40", lambda m: str(m.start() + 7), item)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    gap = " and here are other words of no use to anyone " * 3
+    texts = [f"{other}. {gap} {item}.", f"{item}. {gap} {other}.", f"{other} {item}", f"{other}. {gap} {other}.", f"{other}. " * 30 + item]
+    got = {r["doc_id"]: r["exact"] for r in decontamination.find_leaks(docs(spark, texts), bench).collect()}
+    assert got == {0: True, 1: True, 2: True, 4: True}
+
+
+def test_leaks_of_rows_without_an_id(spark):
+    """Fragments of an item in several rows aren't one document, whatever their ids."""
+    bench = spark.createDataFrame([(1, ITEM), (None, ITEM), (1, ITEM)], "item_id long, text string")
+    words = ITEM.split()
+    parts = [" ".join(words[i : i + 12]) for i in (0, 6, 12)]
+    for ids in ([None] * 3, [5] * 3):
+        assert decontamination.find_leaks(docs(spark, parts, ids=ids), bench).count() == 0
+    rows = decontamination.find_leaks(docs(spark, [ITEM, ITEM, ITEM + " x"], ids=[None, None, None]), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in rows) == [(None, 0), (None, 0), (None, 1), (None, 1)]
+    assert decontamination.find_leaks(docs(spark, []), bench).count() == 0
+    assert decontamination.find_leaks(docs(spark, [ITEM]), bench.limit(0)).count() == 0
+    assert decontamination.without_leaks(docs(spark, [ITEM, None, "x"], ids=[None, None, None]), bench).count() == 2
+
+
+def naive_leaks(texts, items):
+    """Pairs by the definition: every place, distance and reading looked at."""
+    d = decontamination
+    templates = d.Templates()
+
+    def windows(text, width, verbatim):
+        word, _, readings = templates.read([text])
+        if verbatim:
+            h = templates.hashes[word].tolist()
+            return {(i, tuple(h[i : i + width]), ()) for i in range(len(h) - width + 1)}, len(word)
+        out = set()
+        for h, slot in readings:
+            h = h.tolist()
+            for i in range(len(h) - width + 1):
+                if width - sum(slot[i : i + width]) >= min(d.LITERALS, width):
+                    out.add((i, tuple(h[i : i + width]), tuple(templates.words[w].lower() for w, s in zip(word[i : i + width], slot[i : i + width]) if s)))
+        return out, len(word)
+
+    found = set()
+    for k, item in enumerate(items):
+        width = min(d.WIDTH, len(templates.read([item])[0]))
+        if width < d.LEAST:
+            continue
+        own, least = windows(item, width, False)[0], d.SHARE
+        if not own:
+            own, least = windows(item, width, True)[0], 1.0
+        n = len({i for i, *_ in own})
+        stretch = max(d.LEAST_STRETCH, n + d.WIDTH)
+        for j, text in enumerate(texts):
+            places = {}
+            for i, h, b in windows(text, width, least == 1.0)[0]:
+                for at, g, a in own:
+                    if g == h:
+                        for place in ((0, i - at), (1, (i - at) // stretch), (2, (i - at + stretch / 2) // stretch)):
+                            places.setdefault(place, []).append((at, list(zip(a, b))))
+            for hits in places.values():
+                slots = {s for _, zipped in hits for s in zipped}
+                if len({at for at, _ in hits}) / n >= least and (not slots or len({a for a, _ in slots}) / len(slots) >= d.CONSISTENT):
+                    found.add((j, k))
+    return found
+
+
+def test_leaks_like_all_places(spark):
+    rnd = random.Random(16)
+    names, things = ["Anna", "Ben", "Carl", "Dora"], ["apples", "coins", "books"]
+    forms = [
+        "{n} has {a} red {t}. {n} buys {b} more {t} at the market. How many {t} has {n} now?",
+        "A train leaves at {a} and travels {b} km to the town where {n} waits with {a} bags of {t}.",
+        "What is {a} plus {b}?", "{n} and {m} share {a} {t} so that {n} gets {b} and the rest goes to {m} before they walk home together.",
+    ]
+
+    def made(form):
+        n, m = rnd.sample(names, 2)
+        return form.format(n=n, m=m, a=rnd.randint(2, 99), b=rnd.randint(2, 99), t=rnd.choice(things))
+
+    items = [made(rnd.choice(forms)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 3)):
+            w = made(rnd.choice(forms)).split()
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randint(0, 1)] = [rnd.choice(["very", "Ben", "12", "old", "The"])]
+            parts.append(" ".join(w))
+        texts.append(" then ".join(parts))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs(spark, texts), bench).collect()}
+    want = naive_leaks(texts, items)
+    assert got == want and 50 < len(want) < len(texts) * len(items)
+
+
 def test_leaks_brute_force(spark, sample, rows):
     bench = spark.read.parquet(f"{D}/benchmark.parquet")
     words = lambda t: re.findall(r"\w+", (t or "").lower())
@@ -111,7 +216,7 @@ def test_leaks_brute_force(spark, sample, rows):
         w = " ".join(words(b["text"]))
         want |= {(r["doc_id"], b["item_id"]) for r in rows if w and f" {w} " in f" {' '.join(words(r['text']))} "}
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(sample, bench).collect()}
-    assert want <= got and len(got - want) <= 2
+    assert got == want
 
 
 # 3 licences
