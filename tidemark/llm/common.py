@@ -62,6 +62,15 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(lambda batches: fn(b for b in batches if b.num_rows), schema)
 
 
+#: The type of ``row_key``.
+ROW_KEY = "struct<id:long,text:long,check:int>"
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: the id and two hashes of the text."""
+    return F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"), F.hash(text_col).alias("check"))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

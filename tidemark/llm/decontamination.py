@@ -39,10 +39,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, table, utf8
+from .common import ROW_KEY, Scratch, arrow_map, row_key, table, utf8
 
 WIDTH, LEAST, LITERALS, SHARE, CONSISTENT = 8, 4, 4, 0.4, 0.75
 BITS = 1 << 22
@@ -141,13 +141,7 @@ def window_hashes(h: np.ndarray, slot: np.ndarray, text: np.ndarray, width: int)
     return at, total[at]
 
 
-KEY = "struct<id:long,text:long,check:int>"
-WINDOWS = f"key {KEY}, width int, hash long, pos int, values array<string>"
-
-
-def row_key(id_col: str) -> Column:
-    """A row's id and two hashes of its text."""
-    return F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("text"), F.hash("text").alias("check"))
+WINDOWS = f"key {ROW_KEY}, width int, hash long, pos int, values array<string>"
 
 
 def _rows(keys: pa.Array, text: np.ndarray, width: int, at: np.ndarray, hashes: np.ndarray, first: np.ndarray, words: list[str], word: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:

@@ -2,11 +2,13 @@
 
 Two 64-bit fingerprints that differ in at most ``max_bits`` (0 to 2) bits agree
 in at least ``8 - max_bits`` of their eight byte positions. A posting list of
-one byte position holds 1/256 of all fingerprints, so postings are grouped: the
-eight positions form four groups of two, at most two groups can differ, and
-every pair shall meet in one of the six lists keyed by the bytes of two groups.
-Where a pair meets, its shared positional bytes are tallied, pairs below the
-guaranteed count go, and the rest is verified by the bits that differ.
+one byte position holds 1/256 of all fingerprints, so lists of a position are
+kept within lists of others: the eight positions form four groups of two, at
+most two groups can differ, and every pair shall meet in one of the six lists
+keyed by the bytes of two groups. Within such a list a fingerprint posts the
+bytes of the four open positions; the positions that a pair shares are tallied,
+pairs below the guaranteed count go, and the rest is verified by the bits that
+differ.
 
 A list with more than ``LIST_MAX`` members would give a quadratic number of
 pairs. There every fingerprint files itself under itself and under the 32
@@ -18,7 +20,9 @@ with a number of links in proportion to the members.
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; copies share a fingerprint and therefore a component; rows with a null
-id stay, and the component's id is the smallest id that is not null.
+id stay, and the component's id is the smallest id that is not null (null if
+there is none); rows that repeat stay, each as a row; an empty table gives no
+rows. Only ids and texts are read, so that further columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, table, utf8
+from .common import ROW_KEY, Scratch, arrow_map, row_key, table, utf8
 
 #: A list with more members than this gives fewer star links than pairs.
 LIST_MAX = 64
@@ -77,14 +81,6 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, id_col: str = "doc
     return arrow_map(slim, run, "doc_id long, fp long")
 
 
-def shared_bytes(x: Column) -> Column:
-    """How many of the eight byte positions agree, given the XOR of two fingerprints."""
-    total = F.lit(0)
-    for i in range(8):
-        total = total + F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0)
-    return total
-
-
 def group_of(fp: Column, g: int) -> Column:
     return F.shiftrightunsigned(fp, 16 * g).bitwiseAND(F.lit(0xFFFF))
 
@@ -103,61 +99,79 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = 2) -> DataFrame:
         raise ValueError("two byte groups can hold at most two differing bits")
     lists = F.array(*(F.struct(F.lit(i).alias("pair"), (F.shiftleft(group_of(F.col("fp"), a), 16) + group_of(F.col("fp"), b)).alias("key")) for i, (a, b) in enumerate(PAIRS)))
     postings = scratch.keep(fps.select("fp", F.explode(lists).alias("e")).select("e.pair", "e.key", "fp"))
-    hot = postings.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST_MAX).select("pair", "key")
-    hot = scratch.keep(hot)
-    cold = postings.join(hot, ["pair", "key"], "left_anti")
-    a, b = cold.withColumnRenamed("fp", "u"), cold.withColumnRenamed("fp", "v")
-    x = F.col("u").bitwiseXOR(F.col("v"))
-    met = F.lit(None).cast("int")
-    for i, (g, h) in reversed(list(enumerate(PAIRS))):
-        met = F.when((group_of(x, g) == 0) & (group_of(x, h) == 0), i).otherwise(met)
-    near = (
-        a.join(b, ["pair", "key"])
-        .where((F.col("u") < F.col("v")) & (F.col("pair") == met))
-        .where(shared_bytes(x) >= 8 - max_bits)
-        .where(F.bit_count(x) <= max_bits)
-        .select("u", "v")
-    )
+    sizes = postings.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = scratch.keep(postings.join(sizes, ["pair", "key"]))
+    cold, hot = listed.where(F.col("n") <= LIST_MAX), listed.where(F.col("n") > LIST_MAX)
+    open_positions = F.lit(None).cast("array<int>")
+    for i, kept in enumerate(PAIRS):
+        open_positions = F.when(F.col("pair") == i, F.array(*(F.lit(2 * g + j) for g in range(4) if g not in kept for j in range(2)))).otherwise(open_positions)
+    byte = F.expr("cast(shiftrightunsigned(fp, 8 * position) & 255 as int)").alias("byte")
+    posted = cold.select("pair", "key", "fp", F.explode(open_positions).alias("position")).select("pair", "key", "position", byte, "fp")
+    shared = posted.withColumnRenamed("fp", "u").join(posted.withColumnRenamed("fp", "v"), ["pair", "key", "position", "byte"]).where("u < v")
+    tally = shared.groupBy("pair", "u", "v").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= 4 - max_bits)
+    near = tally.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
     masks = F.lit(None).cast("array<long>")
     for i, kept in enumerate(PAIRS):
         open_bits = [_signed(1 << (16 * g + j)) for g in range(4) if g not in kept for j in range(16)]
         masks = F.when(F.col("pair") == i, F.array(*map(F.lit, [0, *open_bits]))).otherwise(masks)
     if max_bits == 2:
         entry = F.col("fp").bitwiseXOR(F.col("mask"))
-        filed = postings.join(hot, ["pair", "key"], "left_semi").select("fp", F.explode(masks).alias("mask")).select(entry.alias("entry"), "fp").distinct()
+        filed = hot.select("fp", F.explode(masks).alias("mask")).select(entry.alias("entry"), "fp").distinct()
     else:  # entries pair each fingerprint with one neighbour, so that a shared entry means one bit at most
         low = F.least(F.col("fp"), F.col("fp").bitwiseXOR(F.col("mask")))
         use = masks if max_bits else F.array(F.lit(0))
-        filed = postings.join(hot, ["pair", "key"], "left_semi").select("fp", F.explode(use).alias("mask")).select(low.alias("low"), "mask", "fp").distinct()
+        filed = hot.select("fp", F.explode(use).alias("mask")).select(low.alias("low"), "mask", "fp").distinct()
         filed = filed.select(F.struct("low", "mask").alias("entry"), "fp")
     least = filed.groupBy("entry").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = filed.join(least, "entry").where(F.col("u") < F.col("fp")).select("u", F.col("fp").alias("v"))
     return near.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+#: Parts into which the rows of one key are dealt where keys may be hubs.
+SALTS = 256
+
+
+def hub_join(rows: DataFrame, by_key: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` joined with ``by_key``, which has one row per ``key``; a key's rows are dealt over ``SALTS`` tasks by ``spread``.
+
+    A key's row goes to the parts that its rows are in, so that no more of them are made than there are rows.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = dealt.select(key, "salt").distinct()
+    return dealt.join(by_key.join(parts, key), [key, "salt"]).drop("salt")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): every node of ``edges`` (u, v) with the smallest node that it can reach.
 
-    Alternates large-star and small-star; each round is one written table, so
-    that a lost executor costs a round at most. No link leaves the executors.
+    Alternates large-star and small-star; each step is one written table, so
+    that a lost executor costs a step at most. No link leaves the executors, and
+    the links of a hub are dealt over many tasks. Ends when a large-star changes
+    nothing and every node has one smaller neighbour: then all trees are stars.
+    Every other round moves a link to a smaller node, so that it does end.
     """
+
+    def state(e: DataFrame):
+        return e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+
     e = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    for _ in range(rounds):
-        state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if state == seen or state["n"] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+    while True:
+        before = state(e)
+        if before["n"] == 0:
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = scratch.keep(both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        large = scratch.keep(hub_join(both.where("v > u"), m, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        if state(large) == before and least.where("n > 1").limit(1).count() == 0:
+            scratch.drop(large)
+            break
+        small = hub_join(large, least.select("u", "m"), "u", "v").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         after = scratch.keep(small.where("u <> v").distinct())
         scratch.drop(large)
         scratch.drop(e)
         e = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
@@ -169,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, seed: int =
     rooted = texts.join(roots, texts.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = scratch.keep(rooted.join(ids, "root").select("fp", "component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return hub_join(fps, classes, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 #: Positions of the minwise fingerprint, those in one list's key, and the shared ones that make a candidate.
@@ -289,7 +303,7 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
 
     Texts without words are copies of each other, and so are texts of the same
     shingles, which ``fp`` tells. Of a group the smallest id stays; a null id
-    counts as largest. ``key`` is a hash of id and text.
+    counts as largest. ``key`` holds the id and two hashes of the text.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     factors = np.random.default_rng(5).integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -322,16 +336,14 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for number, lo, hi, members in zip(*(b.column(i) for i in range(4))):
-                members, lo, hi = members.as_py(), lo.as_py(), hi.as_py()
-                low = [x for x in members if x["block"] == lo]
-                high = None if lo == hi else [x for x in members if x["block"] == hi]
-                if low and (high or lo == hi):
-                    found += block_links(number.as_py(), low, high, threshold)
+            for number, same, low, high in zip(*(b.column(i) for i in range(4))):
+                low, high = low.as_py(), high.as_py()
+                if low and (high or same.as_py()):
+                    found += block_links(number.as_py(), low, None if same.as_py() else high, threshold)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(arrow_map(slim, run, "doc_id long, key long, fp long, size long, sketch binary"))
+    rows = scratch.keep(arrow_map(slim, run, f"doc_id long, key {ROW_KEY}, fp long, size long, sketch binary"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     texts = scratch.keep(rows.groupBy("fp").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS // IN_KEY - 1)), lambda i: F.struct(i.alias("list"), F.substring("sketch", i * IN_KEY + 1, F.lit(IN_KEY)).alias("key")))
@@ -360,32 +372,47 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
 
     # large lists that still hold several components
     members = many.select("list", "key", "fp").join(rooted.select("fp", "root", "size"), "fp")
-    split = members.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"), (F.min("root") < F.max("root")).alias("open")).where("open")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    members = members.join(split.select("list", "key", blocks), ["list", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    members = members.join(sketch.select("fp", "sketch"), "fp").join(sets, "fp")
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = members.groupBy("list", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", "root", "sketch", "hashes")).alias("members"))
-    late = components(arrow_map(met.select("list", "lo", "hi", "members"), compare, "u long, v long"), scratch)
+    split = members.groupBy("list", "key").agg((F.min("root") < F.max("root")).alias("open"), F.sum("size").alias("m"), F.count(F.lit(1)).alias("n")).where("open")
+    whole = members.groupBy("list", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"))
+    room = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int")
+    # blocks of a large component bear its root, those of all others none
+    whole = whole.withColumn("blocks", room).withColumn("of", F.when(F.col("blocks") > 1, F.col("root")))
+    blocks = whole.groupBy("list", "key", "of").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).withColumn("blocks", room)
+    blocks = blocks.join(split.select("list", "key"), ["list", "key"]).select("list", "key", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
+    a, b = (blocks.select("list", "key", F.col("of").alias(f"of_{x}"), F.struct(F.coalesce("of", F.lit(0)).alias("of"), "block").alias(x)) for x in ("lo", "hi"))
+    tasks = a.join(b, ["list", "key"]).where("lo <= hi and (of_lo is null or of_hi is null or of_lo <> of_hi)").select("list", "key", "lo", "hi")
+    tasks = scratch.keep(tasks)
+    members = members.join(whole.select("list", "key", "root", "of"), ["list", "key", "root"])
+    places = blocks.groupBy("list", "key", F.coalesce("of", F.lit(0)).alias("of")).agg(F.max("blocks").alias("blocks"))
+    members = members.withColumn("of", F.coalesce("of", F.lit(0))).join(places, ["list", "key", "of"])
+    members = members.withColumn("block", F.struct("of", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")))
+    members = members.join(sketch.select("fp", "sketch"), "fp").join(sets, "fp").select("list", "key", "block", F.struct("root", "sketch", "hashes").alias("member"))
+    sides = tasks.select("*", F.col("lo").alias("block")).union(tasks.where("lo <> hi").select("*", F.col("hi").alias("block")))
+    keys = ["list", "key", "lo", "hi"]
+    met = sides.join(members, ["list", "key", "block"]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    met = met.groupBy(*keys).agg(F.collect_list(F.when(F.col("block") == F.col("lo"), F.col("member"))).alias("low"), F.collect_list(F.when(F.col("block") != F.col("lo"), F.col("member"))).alias("high"))
+    met = met.select("list", (F.col("lo") == F.col("hi")).alias("same"), "low", "high")
+    late = components(arrow_map(met, compare, "u long, v long"), scratch)
     late = late.withColumnRenamed("root", "over")
     rooted = scratch.keep(rooted.join(late, rooted.root == late.node, "left").select("fp", "first", F.coalesce("over", "root").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return rows.select("doc_id", "key", "fp").join(rooted.select("fp", "root"), "fp"), scratch.keep(kept)
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def one_of_each(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group of near copies does."""
+    """The rows of ``docs`` that stay when one document of each group of near copies does.
+
+    Of rows with equal ids and texts the one with the least other values stays.
+    """
     rows, kept = near_copies(docs, k, threshold)
     name = next(f"row_key{i}" for i in range(len(docs.columns) + 1) if f"row_key{i}" not in docs.columns)
     mine = docs.withColumn(name, row_key()).join(kept.withColumnRenamed("key", name), name, "left_semi")
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(kept, "key", "left_semi").select(F.col("key").alias(name))
     if again.take(1):  # rows that repeat id and text
-        mine = mine.join(again, name, "left_anti").unionByName(mine.join(again, name, "left_semi").dropDuplicates([name]))
-    return mine.select(*docs.columns)
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        least = mine.join(again, name, "left_semi").groupBy(name).agg(F.min(F.struct(*columns)).alias(f"{name}_least")).select(F.col(f"{name}_least.*"))
+        mine = mine.join(again, name, "left_anti").select(*columns).unionByName(least)
+    return mine.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_simhash(spark, sf_dir):
