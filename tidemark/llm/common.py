@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Folders of the scratch tables made so far.
+_roots: list[str] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside, for results that are written there, too."""
+    mark = len(_roots)
+    try:
+        yield
+    finally:
+        for root in _roots[mark:]:
+            _delete(spark, root)
+        del _roots[mark:]
+
+
 class Scratch:
     """Written tables that cut lineage and survive the loss of executors.
 
@@ -38,6 +62,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        _roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -49,16 +74,20 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         if path := self.paths.pop(id(df), None):
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(self.spark, path)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of bounded size, whatever the length of the texts."""
+    """``mapInArrow`` with batches of bounded size, whatever the length of the texts.
+
+    The JVM cuts the batches by settings of the session as it runs, so these are
+    lowered to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are higher, and never raised.
+    """
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}").lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(lambda batches: fn(b for b in batches if b.num_rows), schema)
 
 

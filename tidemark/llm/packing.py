@@ -201,7 +201,7 @@ TAILS = "doc_id long, doc_tokens long, crcs array<long>, tail int, tail_crc long
 
 def tokenize(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, step, end = encoder(path), 4 * window, np.array([end_id], "<u4").tobytes()
+        enc, step, end, row = encoder(path), 4 * window, np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
             rows = []
             ids = b.column(0).to_pylist()
@@ -210,7 +210,8 @@ def tokenize(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
                 full = len(raw) // step
                 crcs = [zlib.crc32(raw[i * step : i * step + step]) for i in range(full)]
                 tail = raw[full * step :]
-                rows.append((doc_id, len(raw) // 4, crcs, len(tail) // 4, zlib.crc32(tail), tail, zlib.crc32(b"%d %d" % (doc_id or 0, zlib.crc32(tail))) % SALTS))
+                rows.append((doc_id, len(raw) // 4, crcs, len(tail) // 4, zlib.crc32(tail), tail, (zlib.crc32(b"%d %d" % (doc_id or 0, zlib.crc32(tail))) + row) % SALTS))
+                row += 1  # equal rows are dealt, too
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in TAILS.split(", ")])
 

@@ -358,7 +358,7 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     stars = many.join(centers, ["list", "key"]).where("c <> fp").select(F.least("c", "fp").alias("u"), F.greatest("c", "fp").alias("v"))
     met = scratch.keep(pairs.unionByName(stars).distinct())
     sketch = texts.select("fp", "size", "sketch")
-    both = met.join(sketch.toDF("u", "m", "a"), "u").join(sketch.toDF("v", "n", "b"), "v").where(F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9)
+    both = hub_join(hub_join(met, sketch.toDF("u", "m", "a"), "u", "v"), sketch.toDF("v", "n", "b"), "v", "u").where(F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9)
     proposed = scratch.keep(arrow_map(both.select("u", "v", "a", "b"), tally, "u long, v long"))
 
     # whole sets, of texts in a proposed pair or a large list
@@ -366,7 +366,7 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     wanted = texts.join(wanted, "fp", "left_semi").select(F.col("first.key").alias("key"))
     read = slim.select("key", "text").join(wanted, "key", "left_semi").select("text")
     sets = scratch.keep(arrow_map(read, hashes_of, "fp long, hashes binary").groupBy("fp").agg(F.first("hashes").alias("hashes")))
-    both = proposed.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    both = hub_join(hub_join(proposed, sets.toDF("u", "a"), "u", "v"), sets.toDF("v", "b"), "v", "u")
     roots = components(arrow_map(both.select("u", "v", "a", "b"), verify, "u long, v long"), scratch)
     rooted = scratch.keep(texts.join(roots, texts.fp == roots.node, "left").select("fp", "first", "size", F.coalesce("root", "fp").alias("root")))
 
@@ -396,7 +396,7 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     late = late.withColumnRenamed("root", "over")
     rooted = scratch.keep(rooted.join(late, rooted.root == late.node, "left").select("fp", "first", F.coalesce("over", "root").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
-    return rows.select("doc_id", "key", "fp").join(rooted.select("fp", "root"), "fp"), scratch.keep(kept)
+    return hub_join(rows.select("doc_id", "key", "fp"), rooted.select("fp", "root"), "fp", "key"), scratch.keep(kept)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> DataFrame:
