@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch_root, table
+from tidemark.llm.common import scratch_root, table, temporary
 from tidemark.llm.decontamination import without_leaks
 from tidemark.llm.language_id import keep_identified, learn
 from tidemark.llm.packing import pack
@@ -51,9 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the last stage. Tables that a stage made on its way go as soon as its result is written."""
     at = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
     return docs
