@@ -352,17 +352,20 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     listed = scratch.keep(postings.join(sizes, ["list", "key"]))
     few = listed.where(F.col("n") <= LIST_MAX).drop("n")
     pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["list", "key"]).where("u < v").select("u", "v")
-    many = listed.where(F.col("n") > LIST_MAX)
-    popular = listed.join(many.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.sum("n").alias("popularity"))
-    centers = many.join(popular, "fp").groupBy("list", "key").agg(F.max_by("fp", F.struct("popularity", "fp")).alias("c"))
-    stars = many.join(centers, ["list", "key"]).where("c <> fp").select(F.least("c", "fp").alias("u"), F.greatest("c", "fp").alias("v"))
+    # texts in large lists, each with these lists; what follows joins texts, not their places in lists
+    at = F.struct("list", "key")
+    crowd = listed.groupBy("fp").agg(F.sum("n").alias("popularity"), F.collect_list(F.when(F.col("n") > LIST_MAX, at)).alias("lists")).where(F.size("lists") > 0)
+    crowd = scratch.keep(crowd)
+    many = crowd.select("fp", "popularity", F.explode("lists").alias("at"))
+    centers = many.groupBy("at").agg(F.max_by("fp", F.struct("popularity", "fp")).alias("c"))
+    stars = hub_join(many, centers, "at", "fp").where("c <> fp").select(F.least("c", "fp").alias("u"), F.greatest("c", "fp").alias("v"))
     met = scratch.keep(pairs.unionByName(stars).distinct())
     sketch = texts.select("fp", "size", "sketch")
     both = hub_join(hub_join(met, sketch.toDF("u", "m", "a"), "u", "v"), sketch.toDF("v", "n", "b"), "v", "u").where(F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9)
     proposed = scratch.keep(arrow_map(both.select("u", "v", "a", "b"), tally, "u long, v long"))
 
     # whole sets, of texts in a proposed pair or a large list
-    wanted = proposed.select(F.explode(F.array("u", "v")).alias("fp")).union(many.select("fp")).distinct()
+    wanted = proposed.select(F.explode(F.array("u", "v")).alias("fp")).union(crowd.select("fp")).distinct()
     wanted = texts.join(wanted, "fp", "left_semi").select(F.col("first.key").alias("key"))
     read = slim.select("key", "text").join(wanted, "key", "left_semi").select("text")
     sets = scratch.keep(arrow_map(read, hashes_of, "fp long, hashes binary").groupBy("fp").agg(F.first("hashes").alias("hashes")))
@@ -371,27 +374,30 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     rooted = scratch.keep(texts.join(roots, texts.fp == roots.node, "left").select("fp", "first", "size", F.coalesce("root", "fp").alias("root")))
 
     # large lists that still hold several components
-    members = many.select("list", "key", "fp").join(rooted.select("fp", "root", "size"), "fp")
-    split = members.groupBy("list", "key").agg((F.min("root") < F.max("root")).alias("open"), F.sum("size").alias("m"), F.count(F.lit(1)).alias("n")).where("open")
-    whole = members.groupBy("list", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m"))
-    room = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int")
-    # blocks of a large component bear its root, those of all others none
-    whole = whole.withColumn("blocks", room).withColumn("of", F.when(F.col("blocks") > 1, F.col("root")))
-    blocks = whole.groupBy("list", "key", "of").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).withColumn("blocks", room)
-    blocks = blocks.join(split.select("list", "key"), ["list", "key"]).select("list", "key", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
-    a, b = (blocks.select("list", "key", F.col("of").alias(f"of_{x}"), F.struct(F.coalesce("of", F.lit(0)).alias("of"), "block").alias(x)) for x in ("lo", "hi"))
-    tasks = a.join(b, ["list", "key"]).where("lo <= hi and (of_lo is null or of_hi is null or of_lo <> of_hi)").select("list", "key", "lo", "hi")
-    tasks = scratch.keep(tasks)
-    members = members.join(whole.select("list", "key", "root", "of"), ["list", "key", "root"])
-    places = blocks.groupBy("list", "key", F.coalesce("of", F.lit(0)).alias("of")).agg(F.max("blocks").alias("blocks"))
-    members = members.withColumn("of", F.coalesce("of", F.lit(0))).join(places, ["list", "key", "of"])
-    members = members.withColumn("block", F.struct("of", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")))
-    members = members.join(sketch.select("fp", "sketch"), "fp").join(sets, "fp").select("list", "key", "block", F.struct("root", "sketch", "hashes").alias("member"))
+    members = crowd.join(rooted.select("fp", "root", "size"), "fp").select("fp", "root", "size", F.explode("lists").alias("at"))
+    room = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+    roots = members.groupBy("at", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m")).withColumn("blocks", room(F.col("n"), F.col("m")))
+    small = lambda c: F.coalesce(F.sum(F.when(F.col("blocks") <= 1, F.col(c))), F.lit(0))
+    plan = roots.groupBy("at").agg((F.min("root") < F.max("root")).alias("open"), F.collect_list(F.when(F.col("blocks") > 1, F.struct("root", "blocks"))).alias("large"), room(small("n"), small("m")).alias("rest")).where("open")
+    plan = scratch.keep(plan.select("at", "large", "rest"))
+    # blocks of a large component bear its root; all others share the rest
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    block = lambda own, of, i: F.struct(own.alias("own"), of.alias("of"), i.cast("int").alias("i"))
+    own = F.flatten(F.transform("large", lambda x: F.transform(numbers(x["blocks"]), lambda i: block(F.lit(True), x["root"], i))))
+    rest = F.transform(numbers(F.col("rest")), lambda i: block(F.lit(False), F.lit(0).cast("long"), i))
+    tasks = plan.select("at", F.concat(own, rest).alias("blocks")).select("at", F.explode("blocks").alias("lo"), "blocks").select("at", "lo", F.explode("blocks").alias("hi"))
+    tasks = tasks.where("lo <= hi and not (lo.own and hi.own and lo.of = hi.of)")
+    mine = F.filter("large", lambda x: x["root"] == F.col("root"))
+    among = lambda n: F.pmod(F.xxhash64("fp"), n)
+    placed = hub_join(members, plan, "at", "fp").withColumn("mine", F.get(mine, F.lit(0)))
+    placed = placed.withColumn("block", F.when(F.col("mine").isNull(), block(F.lit(False), F.lit(0).cast("long"), among(F.col("rest")))).otherwise(block(F.lit(True), F.col("root"), among(F.col("mine.blocks")))))
+    placed = placed.groupBy("fp").agg(F.first("root").alias("root"), F.collect_list(F.struct("at", "block")).alias("places"))
+    shipped = placed.join(sketch.select("fp", "sketch"), "fp").join(sets, "fp").select(F.explode("places").alias("place"), F.struct("root", "sketch", "hashes").alias("member")).select("place.at", "place.block", "member")
     sides = tasks.select("*", F.col("lo").alias("block")).union(tasks.where("lo <> hi").select("*", F.col("hi").alias("block")))
-    keys = ["list", "key", "lo", "hi"]
-    met = sides.join(members, ["list", "key", "block"]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    keys = ["at", "lo", "hi"]
+    met = sides.join(shipped, ["at", "block"]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     met = met.groupBy(*keys).agg(F.collect_list(F.when(F.col("block") == F.col("lo"), F.col("member"))).alias("low"), F.collect_list(F.when(F.col("block") != F.col("lo"), F.col("member"))).alias("high"))
-    met = met.select("list", (F.col("lo") == F.col("hi")).alias("same"), "low", "high")
+    met = met.select("at.list", (F.col("lo") == F.col("hi")).alias("same"), "low", "high")
     late = components(arrow_map(met, compare, "u long, v long"), scratch)
     late = late.withColumnRenamed("root", "over")
     rooted = scratch.keep(rooted.join(late, rooted.root == late.node, "left").select("fp", "first", F.coalesce("over", "root").alias("root")))
