@@ -406,3 +406,75 @@ def test_joins_helpers(spark):
     assert joins.anti(a, a.where("k = 1"), ["k"]).count() == 1
     assert joins.densify(panel(spark, {"A": [1, 2], "B": [3]})).count() == 4
     assert math.isinf(st.min_track_record_length(0.0, 0.1, 0, 3))
+
+
+def test_coerce_leaves_unknown_columns_alone(spark):
+    r = parsers.records(spark, [{"DisclosedDate": "2024-02-01", "LTD": "20240308", "ProductCategory": "OPT", "IV": "0.21", "FrgnBal": "-5", "Code": "0123", "NP": "-"}]).first()
+    assert str(r["DisclosedDate"]) == "2024-02-01" and str(r["LTD"]) == "2024-03-08" and r["ProductCategory"] == "OPT" and r["Code"] == "0123"
+    assert r["IV"] == 0.21 and r["FrgnBal"] == -5.0 and r["NP"] is None
+
+
+def test_pbo_common_dates_and_ties(spark):
+    rows = [(f"s{k}", f"2020-01-{i + 1:02d}", float((i * (k + 3)) % 7 - 3)) for k in range(3) for i in range(20)]
+    frame = lambda r: spark.createDataFrame(r, "strategy string, date string, ret double")
+    whole = st.pbo(frame(rows), 4).first()
+    extra = [*rows, ("s0", "2020-02-01", 9.0), ("s1", "2020-02-02", None)]  # dates that not all strategies have
+    assert st.pbo(frame(extra), 4).first() == whole and whole["n_combos"] == 6
+    assert st.pbo(frame([r for r in rows if r[1] < "2020-01-08"]), 4).first()["pbo"] is None
+    assert st.pbo(frame([r for r in rows if r[0] == "s0"]), 4).first()["pbo"] is None
+    twins = [(s, d, float(i % 5 - 1)) for s in ("a", "b") for i, d in enumerate(f"2020-01-{i + 1:02d}" for i in range(20))]
+    assert {round(r["omega"], 6) for r in st.pbo_cscv(frame(twins), 4).collect()} == {round(1 / 3, 6)}
+
+
+def test_time_decay_without_uniqueness(spark):
+    u = spark.createDataFrame([("a", i, i + 1, 0.0) for i in range(3)], "symbol string, t0 long, t1 long, uniqueness double")
+    assert column(labels.time_decay(u, 0.5), "decay", "t0") == [1, 1, 1]
+
+
+def test_index_change_legs(spark):
+    from tidemark.operators import strategies
+
+    rows = [("2024-01-05", "2024-04-01", "1111", "periodic", "2222", "periodic"), (None, "2024-05-01", "3333", "delisting", "444A", "extraordinary"), ("2024-02-01", "2024-06-01", "5555", "demotion", "6666", "succession")]
+    legs = strategies.index_change_legs(spark.createDataFrame(rows, "announce string, effective string, out_code string, out_kind string, in_code string, in_kind string")).collect()
+    assert {(r["code"], r["kind"], r["side"]) for r in legs} == {("22220", "periodic", 1), ("11110", "periodic", -1), ("444A0", "extraordinary", 1), ("55550", "demotion", -1)}
+
+
+def test_purged_cv_predict_tests_every_label_once(spark):
+    class Mean:
+        def fit(self, x, y):
+            self.value, self.n = y.mean(), len(y)
+
+        def predict(self, x):
+            return np.full(len(x), self.value)
+
+    rows = [(i, float(i % 7), float(i)) for i in range(60)]
+    features = spark.createDataFrame(rows, "pos long, x double, y double")
+    spans = spark.createDataFrame([(i, i, i + 2) for i in range(60)], "pos long, t0 long, t1 long")
+    got = {r["pos"]: r["pred"] for r in bt.purged_cv_predict(features, spans, Mean, ["x"], 6, 0.05).collect()}
+    assert sorted(got) == list(range(60))
+    for k in range(6):  # the mean of what neither meets the fold nor lies in the 3 positions behind it
+        lo, hi = 10 * k, 10 * k + 9
+        train = [i for i in range(60) if not (i <= hi + 2 and i + 2 >= lo) and not (hi < i <= hi + 3)]
+        assert got[lo] == pytest.approx(np.mean(train)) and got[hi] == got[lo]
+
+
+def test_frac_diff_table(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    walk, noise = np.cumsum(rng.normal(size=400)), rng.normal(size=400)
+    frame = pd.DataFrame([(s, i, float(x)) for s, xs in (("walk", walk), ("noise", noise)) for i, x in enumerate(xs)], columns=["symbol", "ts", "close"])
+    table = tm.frac_diff_table(spark.createDataFrame(frame), (0.0, 0.5, 1.0), 1e-2)
+    got = {(r["symbol"], r["d"]): r for r in table.collect()}
+    assert not got["walk", 0.0]["stationary"] and got["walk", 1.0]["stationary"] and got["noise", 0.0]["stationary"]
+    assert got["walk", 0.0]["corr"] == pytest.approx(1.0) and got["walk", 1.0]["critical"] == pytest.approx(-2.869, abs=0.01)
+    least = {r["symbol"]: r["d"] for r in tm.least_d(table).collect()}
+    assert least["noise"] == 0.0 and least["walk"] > 0
+
+
+def test_value_factors_follow_forecasts(spark):
+    rows = [(m, 1, 100.0 + m, 10.0, 4.0, 5.0, 50.0, 20.0, 0.0, 100.0 + m) for m in range(14)]
+    pit = spark.createDataFrame(rows, "date int, code int, close double, ShOutFY double, TrShFY double, FEPS double, FNP double, NP double, Eq double, adj_close double")
+    r = panels.value_quality_size_factors(pit).orderBy("date").collect()
+    assert r[0]["earnings_yield"] == pytest.approx(0.05) and r[0]["roe"] is None and r[0]["size"] == pytest.approx(-math.log(600)) and r[0]["div_yield"] is None
+    assert r[0]["momentum"] is None and r[13]["momentum"] == pytest.approx(112 / 101 - 1)

@@ -190,6 +190,16 @@ def cpcv_backtest(features: DataFrame, splits: DataFrame, model_factory, columns
     return d.groupBy("split_id").applyInPandas(run, "split_id int, pos long, pred double")
 
 
+def purged_cv_predict(features: DataFrame, labels: DataFrame, model_factory, columns: list[str], n_splits: int = 6, embargo_pct: float = 0.01) -> DataFrame:
+    """(pos, pred): out-of-fold predictions of a purged k-fold; every label is tested once.
+
+    ``features``: pos, columns, y and perhaps w. ``labels``: pos, t0, t1.
+    """
+    from .statistics import cpcv_splits
+
+    return cpcv_backtest(features, cpcv_splits(labels, n_splits, 1, embargo_pct), model_factory, columns).select("pos", "pred")
+
+
 def cpcv_path_sharpes(predictions: DataFrame, realised: DataFrame) -> DataFrame:
     """(path, sharpe): path p takes each position's p-th prediction; position times realised return."""
     path = F.row_number().over(Window.partitionBy("pos").orderBy("split_id")) - 1

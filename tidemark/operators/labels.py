@@ -159,14 +159,14 @@ def weights_by_return(bars: DataFrame, events: DataFrame, normalize: bool = True
 
 
 def time_decay(uniqueness: DataFrame, last_weight: float = 1.0) -> DataFrame:
-    """Adds ``decay``: linear in cumulative uniqueness, 1 for the newest; a negative ``last_weight`` blots the oldest out."""
+    """Adds ``decay``: linear in cumulative uniqueness, 1 for the newest; a negative ``last_weight`` blots the oldest out; without any uniqueness all are 1."""
     w = Window.partitionBy("symbol").orderBy("t0", "t1")
     cum, total = F.sum("uniqueness").over(so_far(w)), F.sum("uniqueness").over(Window.partitionBy("symbol"))
     if last_weight >= 0:
         slope = F.try_divide(F.lit(1.0 - last_weight), total)
     else:
         slope = F.try_divide(F.lit(1.0), (last_weight + 1) * total)
-    return uniqueness.withColumn("decay", F.greatest(F.lit(0.0), 1 - slope * total + slope * cum))
+    return uniqueness.withColumn("decay", F.when(total == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - slope * total + slope * cum)))
 
 
 def indicator(bars: DataFrame, events: DataFrame, unit: str = "day") -> DataFrame:

@@ -76,24 +76,33 @@ def market_cap(price: Column, shares: Column, treasury: Column | None = None) ->
     return F.when(net > 0, price * net)
 
 
-def value_quality_size_factors(pit: DataFrame) -> DataFrame:
-    """Ratios over one joined row of price and point-in-time facts (columns close, ShOutFY, TrShFY, EPS, NP, Eq, TA, CFO, Sales, FDivAnn, EqAR)."""
-    cap = market_cap(F.col("close"), F.col("ShOutFY"), F.col("TrShFY"))
-    return pit.withColumn("mcap", cap).select(
-        "date",
-        "code",
-        ratio("EPS", "close").alias("earnings_yield"),
-        ratio("Eq", "mcap").alias("book_to_market"),
-        ratio("CFO", "mcap").alias("cash_yield"),
-        ratio("Sales", "mcap").alias("sales_yield"),
-        ratio("FDivAnn", "close").alias("dividend_yield"),
-        ratio("NP", "Eq").alias("roe"),
-        ratio("NP", "TA").alias("roa"),
-        ratio("NP", "Sales").alias("margin"),
-        F.col("EqAR").alias("equity_ratio"),
-        (-ratio(F.col("NP") - F.col("CFO"), "TA")).alias("accruals"),
-        F.when(F.col("mcap") > 0, -F.log("mcap")).alias("size"),
-    )
+def value_quality_size_factors(pit: DataFrame, lookback: int = 12, skip: int = 1, adjusted: str = "adj_close") -> DataFrame:
+    """Ratios over one joined row of price and point-in-time facts, larger being cheaper, better or smaller.
+
+    ``pit``: date, code, close (raw), and of ShOutFY, TrShFY, FEPS, Eq, CFO, FSales,
+    FDivAnn, FNP, TA, FOP, EqAR, NP what there is (a missing column is NULL);
+    with an ``adjusted`` price there is momentum, too.
+    """
+    have = set(pit.columns)
+    f = lambda name: F.col(name) if name in have else F.lit(None).cast("double")
+    cap = market_cap(F.col("close"), f("ShOutFY"), f("TrShFY"))
+    out = {
+        "earnings_yield": ratio(f("FEPS"), "close"),
+        "book_to_market": ratio(f("Eq"), cap),
+        "cf_yield": ratio(f("CFO"), cap),
+        "sales_yield": ratio(f("FSales"), cap),
+        "div_yield": ratio(f("FDivAnn"), "close"),
+        "roe": ratio(f("FNP"), f("Eq")),
+        "roa": ratio(f("FNP"), f("TA")),
+        "op_margin": ratio(f("FOP"), f("FSales")),
+        "equity_ratio": f("EqAR"),
+        "accruals": ratio(f("CFO") - f("NP"), f("TA")),
+        "size": F.when(cap > 0, -F.log(cap)),
+    }
+    if adjusted in have:
+        by = by_code()
+        out["momentum"] = ratio(F.lag(adjusted, skip).over(by), F.lag(adjusted, lookback).over(by)) - 1
+    return pit.select("date", "code", *(c.alias(name) for name, c in out.items()))
 
 
 def low_volatility(px: DataFrame, window: int = 12, price: str = "close", pad: bool = True) -> DataFrame:

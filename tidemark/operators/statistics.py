@@ -121,13 +121,19 @@ def pbo_cscv(returns: DataFrame, n_splits: int = 8) -> DataFrame:
     """(combo, best, omega, logit): for each half of the blocks, how its best strategy ranks in the other half.
 
     ``returns``: strategy, date, ret. Each (strategy, block) is reduced to n,
-    sum and sum of squares first; the halves are combined from those.
+    sum and sum of squares first; the halves are combined from those. Only dates that
+    all strategies have count; under two strategies or ``2 * n_splits`` dates there
+    are no rows.
     """
     if n_splits % 2 or n_splits < 2:
         raise ValueError("the number of blocks must be even")
     spark = returns.sparkSession
-    dates = returns.select("date").distinct().withColumn("block", F.ntile(n_splits).over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)
-    stats = returns.where("ret is not null").join(dates, "date").groupBy("strategy", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    full = returns.where("ret is not null")
+    k = full.select("strategy").distinct().agg(F.count(F.lit(1)).alias("_k"))
+    common = full.groupBy("date").agg(F.countDistinct("strategy").alias("_has")).join(F.broadcast(k)).where("_has = _k and _k >= 2").select("date")  # k: one row
+    enough = common.agg((F.count(F.lit(1)) >= 2 * n_splits).alias("_ok"))
+    dates = common.join(F.broadcast(enough)).where("_ok").select("date").withColumn("block", F.ntile(n_splits).over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)
+    stats = full.join(dates, "date").groupBy("strategy", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     sides = [(c, b, b in half) for c, half in enumerate(combinations(range(n_splits), n_splits // 2)) for b in range(n_splits)]
     combos = spark.createDataFrame(sides, "combo int, block int, ins boolean")  # n_splits * C(n_splits, half) rows
     g = stats.join(F.broadcast(combos), "block").groupBy("combo", "strategy", "ins").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
@@ -136,17 +142,15 @@ def pbo_cscv(returns: DataFrame, n_splits: int = 8) -> DataFrame:
     g = g.withColumn("sr", F.when(F.col("n") > 1, F.when(var > 1e-18, mean / F.sqrt(var)).otherwise(F.lit(-math.inf))))
     w = g.groupBy("combo", "strategy").agg(F.max(F.when(F.col("ins"), F.col("sr"))).alias("is_sr"), F.max(F.when(~F.col("ins"), F.col("sr"))).alias("oos_sr"))
     by = Window.partitionBy("combo")
-    rank = F.rank().over(by.orderBy("oos_sr")) + (F.count(F.lit(1)).over(Window.partitionBy("combo", "oos_sr")) - 1) / 2
+    rank = F.rank().over(by.orderBy("oos_sr"))  # 1 and those strictly below
     w = w.withColumns({"_r": rank, "_n": F.count(F.lit(1)).over(by), "_best": F.row_number().over(by.orderBy(F.desc("is_sr"), "strategy"))})
     best = w.where("_best = 1").withColumn("omega", F.col("_r") / (F.col("_n") + 1))
     return best.select("combo", F.col("strategy").alias("best"), "omega", F.log(F.col("omega") / (1 - F.col("omega"))).alias("logit"))
 
 
 def pbo(returns: DataFrame, n_splits: int = 8) -> DataFrame:
-    """(pbo, n_combos): share of halves whose best strategy isn't above the middle of the other half; NULL under 2 strategies."""
-    c = pbo_cscv(returns, n_splits)
-    n = returns.select("strategy").distinct().agg(F.count(F.lit(1)).alias("_k"))
-    return c.agg(F.avg((F.col("omega") <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_combos")).join(n).select(F.when(F.col("_k") >= 2, F.col("pbo")).alias("pbo"), "n_combos")
+    """(pbo, n_combos): share of halves whose best strategy isn't above the middle of the other half; NULL where there are too few strategies or dates."""
+    return pbo_cscv(returns, n_splits).agg(F.avg((F.col("omega") <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_combos"))
 
 
 def purged_train(labels: DataFrame, spans: DataFrame) -> DataFrame:
@@ -173,7 +177,12 @@ def cpcv_splits(labels: DataFrame, n_splits: int = 6, n_test: int = 2, embargo_p
     if not 1 <= n_test < n_splits:
         raise ValueError("test groups must be fewer than groups")
     spark = labels.sparkSession
-    grouped = labels.withColumn("grp", F.ntile(n_splits).over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1)
+    # groups from positions alone: the first n % n_splits groups have one label more
+    n = labels.agg(F.count(F.lit(1)).alias("_n"))
+    size, more = F.floor(F.col("_n") / n_splits), F.col("_n") % n_splits
+    wide = more * (size + 1)
+    grp = F.when(F.col("pos") < wide, F.floor(F.col("pos") / (size + 1))).otherwise(more + F.floor((F.col("pos") - wide) / F.greatest(size, F.lit(1))))
+    grouped = labels.join(F.broadcast(n)).withColumn("grp", grp.cast("int")).drop("_n")  # n: one row
     rows = []
     for s, combo in enumerate(combinations(range(n_splits), n_test)):
         block = -1

@@ -10,7 +10,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import clip, guarded, ratio, trailing
@@ -87,7 +87,7 @@ class Pairs(Strategy):
         look = trailing(w, self.lookback)
         sd = F.stddev_pop("_x").over(look)
         z = F.when((F.row_number().over(w) >= self.lookback + 2) & (sd > 0), (F.col("_x") - F.avg("_x").over(look)) / sd)
-        d = d.withColumn("_z", z).where(F.abs("_z") >= self.entry)
+        d = d.withColumn("_z", z).where(F.abs("_z") > self.entry)
         legs = F.array(F.struct(F.lit(self.a).alias("code"), (-0.5 * F.signum("_z")).alias("weight")), F.struct(F.lit(self.b).alias("code"), (0.5 * F.signum("_z")).alias("weight")))
         return d.select("date", F.explode(legs).alias("leg")).select("date", "leg.code", "leg.weight")
 
@@ -99,7 +99,7 @@ class EarningsRunup(Strategy):
         self.days, self.pre, self.lag, self.name = days, pre, lag, name
 
     def weights(self, panel: DataFrame) -> DataFrame:
-        d = self.days.join(panel.where("close is not null").select("date", "code"), ["date", "code"]).where("days is not null")
+        d = self.days.join(panel.select("date").distinct(), "date", "left_semi").where("days is not null")
         d = d.withColumn("_long", (F.col("days") > self.lag) & (F.col("days") <= self.pre))
         by = Window.partitionBy("date")
         n_long, n = F.sum(F.col("_long").cast("int")).over(by), F.count(F.lit(1)).over(by)
@@ -281,19 +281,19 @@ def annualized_vol(px: DataFrame, window: int = 63, floor: float = 0.05, ann: fl
 
 
 def tsmom_weights(monthly: DataFrame, vol: DataFrame, lookback: int = 12, vol_target: float = 0.1) -> DataFrame:
-    """Sign of own momentum, scaled to a target volatility, shared among the names with both."""
+    """Sign of own momentum, scaled to a target volatility, shared among the names that have both and aren't flat."""
     m = ratio("close", F.lag("close", lookback).over(_code())) - 1
-    d = monthly.select("date", "code", m.alias("_m")).join(vol.select("date", "code", "vol"), ["date", "code"]).where("_m is not null and vol > 0")
+    d = monthly.select("date", "code", m.alias("_m")).join(vol.select("date", "code", "vol"), ["date", "code"]).where("_m <> 0 and vol > 0")
     w = F.signum("_m") * vol_target / F.col("vol") / F.count(F.lit(1)).over(Window.partitionBy("date"))
     return d.select("date", "code", w.alias("weight")).where("weight <> 0")
 
 
 def blend_weights(sets: Sequence[DataFrame]) -> DataFrame:
-    """Mean over all sets, absent ones counting 0."""
+    """Mean over all sets, absent ones counting 0; names that net to zero are dropped."""
     out = sets[0].select("date", "code", "weight")
     for s in sets[1:]:
         out = out.unionByName(s.select("date", "code", "weight"))
-    return out.groupBy("date", "code").agg((F.sum("weight") / len(sets)).alias("weight"))
+    return out.groupBy("date", "code").agg((F.sum("weight") / len(sets)).alias("weight")).where("weight <> 0")
 
 
 def inverse_vol_shares(sleeves: DataFrame, window: int = 36, least: int = 12) -> DataFrame:
@@ -306,6 +306,24 @@ def inverse_vol_shares(sleeves: DataFrame, window: int = 36, least: int = 12) ->
     return d.select("date", "sleeve", F.when(known, inv / F.sum(inv).over(by)).otherwise(1 / F.count(F.lit(1)).over(by)).alias("share"))
 
 
+def exchange_code(code: Column) -> Column:
+    """Four-character codes as the data source has them: a zero behind."""
+    return F.concat(code.cast("string"), F.lit("0"))
+
+
+def index_change_legs(changes: DataFrame) -> DataFrame:
+    """(announce, effective, code, kind, side): additions (1) and removals (-1) of an index that funds have to trade.
+
+    ``changes``: announce, effective, out_code, out_kind, in_code, in_kind. Additions
+    are periodic or extraordinary, removals periodic or demotions; successions make
+    no demand, and the price of a delisting is held by its bid.
+    """
+    # Kinds that are traded
+    sides = (("in", 1, ("periodic", "extraordinary")), ("out", -1, ("periodic", "demotion")))
+    legs = F.array(*(F.when(F.col(f"{x}_kind").isin(*kinds), F.struct(exchange_code(F.col(f"{x}_code")).alias("code"), F.col(f"{x}_kind").alias("kind"), F.lit(side).alias("side"))) for x, side, kinds in sides))
+    return changes.select("announce", "effective", F.explode(F.filter(legs, lambda x: x.isNotNull())).alias("leg")).select("announce", "effective", "leg.*")
+
+
 def locate(dates: DataFrame, anchors: DataFrame, anchor: str, offset: int = 0) -> DataFrame:
     """Adds ``pos`` and ``day``: the first trading day at or after the anchor, ``offset`` rows on."""
     w = Window.partitionBy(F.lit(0)).orderBy("date")

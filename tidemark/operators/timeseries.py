@@ -113,6 +113,42 @@ def adf(series: DataFrame, key: str = "symbol", value: str = "close") -> DataFra
     return series.select(key, "ts", value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, stat double, p double")
 
 
+# The 5 % critical value with a constant by sample size n, as a polynomial in 1/n (MacKinnon 2010).
+CRITICAL_5 = (-2.86154, -2.8903, -4.234, -40.040)
+
+
+def frac_diff_table(series: DataFrame, grid: tuple[float, ...] = tuple(i / 10 for i in range(11)), thresh: float = 1e-5, value: str = "close") -> DataFrame:
+    """(symbol, d, stat, p, critical, corr, stationary) of the fractionally differenced series, per order ``d``.
+
+    Under ten values or without variation an order isn't stationary and has no
+    statistics. One symbol's differenced series is in memory at a time.
+    """
+    from .microstructure import frac_diff
+
+    parts = [frac_diff(series, d, thresh, value).join(series.select("symbol", "ts", F.col(value).alias("x")), ["symbol", "ts"]).withColumn("d", F.lit(float(d))) for d in grid]
+    every = series.select("symbol").distinct().withColumn("d", F.explode(F.array(*map(F.lit, map(float, grid)))))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("ts")
+        y, n, row = f["frac_diff"].to_numpy(float), len(f), {"symbol": f["symbol"].iloc[0], "d": f["d"].iloc[0]}
+        if n < 10 or y.std() == 0:
+            return pd.DataFrame([row | {"stat": None, "p": None, "critical": None, "corr": None, "stationary": False}])
+        stat = adf_statistic(y)
+        critical = sum(c / n**i for i, c in enumerate(CRITICAL_5))
+        return pd.DataFrame([row | {"stat": stat, "p": adf_p(stat), "critical": critical, "corr": float(np.corrcoef(f["x"], y)[0, 1]), "stationary": bool(stat < critical)}])
+
+    found = both.groupBy("symbol", "d").applyInPandas(run, "symbol string, d double, stat double, p double, critical double, corr double, stationary boolean")
+    return every.join(found, ["symbol", "d"], "left").withColumn("stationary", F.coalesce("stationary", F.lit(False)))
+
+
+def least_d(table: DataFrame) -> DataFrame:
+    """(symbol, d, corr): the smallest stationary order of ``frac_diff_table``; NULL where none is."""
+    return table.groupBy("symbol").agg(F.min(F.when(F.col("stationary"), F.struct("d", "corr"))).alias("x")).select("symbol", "x.d", "x.corr")
+
+
 def align(y: DataFrame, x: DataFrame, value: str = "close") -> DataFrame:
     """(ts, y, x): common times with both values."""
     return y.select("ts", F.col(value).alias("y")).join(x.select("ts", F.col(value).alias("x")), "ts").where("y is not null and x is not null")

@@ -262,9 +262,9 @@ def dedup_last(s, d):
     return rounded(keep_last(R.fund(s, d), ["Code", "DiscDate"], ["DiscNo"]).select("Code", "DiscDate", "DiscNo", "FEPS"))
 
 
-@query("SELECT d::DATE AS date FROM range(DATE '1995-01-02', DATE '1996-12-31', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d NOT IN (SELECT o_orderdate FROM orders WHERE o_custkey < 300)")
+@query("SELECT d::DATE AS date FROM range(DATE '1995-01-02', DATE '1996-12-31', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d NOT IN (SELECT o_orderdate FROM orders WHERE o_totalprice > 400000)")
 def anti_missing_dates(s, d):
-    had = R.read(s, d, "orders").where("o_custkey < 300").select(F.to_date("o_orderdate").alias("date"))
+    had = R.read(s, d, "orders").where("o_totalprice > 400000").select(F.to_date("o_orderdate").alias("date"))
     return store.missing_dates(store.candidate_dates(s, "daily", "1995-01-02", "1996-12-30"), had)
 
 
@@ -497,7 +497,7 @@ def interval_purge(s, d):
 @query()
 def cpcv_splits(s, d):
     w = Window.partitionBy(F.lit(0)).orderBy("t0", "symbol")
-    lab = R.labels(s, d).where("symbol = 'click'").withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    lab = R.labels(s, d).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
     return st.cpcv_splits(lab.select("pos", "t0", "t1"), 6, 2, 0.01)
 
 
@@ -613,12 +613,12 @@ def strategy_calendar(s, d):
     return sg.CalendarTiming(7).weights(days)
 
 
-@query(f"WITH {R.PANEL}, p AS (SELECT date, ln(max(close) FILTER (code = 1)) - ln(max(close) FILTER (code = 2)) AS x FROM panel WHERE code IN (1, 2) GROUP BY 1 HAVING count(DISTINCT code) = 2), z AS (SELECT date, CASE WHEN row_number() OVER (ORDER BY date) >= 14 THEN (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) END AS z FROM p WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT date, unnest([1, 2])::BIGINT AS code, unnest([-0.5 * sign(z), 0.5 * sign(z)])::DOUBLE AS weight FROM z WHERE abs(z) >= 1.5")
+@query(f"WITH {R.PANEL}, p AS (SELECT date, ln(max(close) FILTER (code = 1)) - ln(max(close) FILTER (code = 2)) AS x FROM panel WHERE code IN (1, 2) GROUP BY 1 HAVING count(DISTINCT code) = 2), z AS (SELECT date, CASE WHEN row_number() OVER (ORDER BY date) >= 14 THEN (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) END AS z FROM p WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT date, unnest([1, 2])::BIGINT AS code, unnest([-0.5 * sign(z), 0.5 * sign(z)])::DOUBLE AS weight FROM z WHERE abs(z) > 1.5")
 def strategy_pairs(s, d):
     return sg.Pairs(1, 2, 12, 1.5).weights(R.panel(s, d)).withColumn("code", F.col("code").cast("long"))
 
 
-TSMOM = "vol AS (SELECT date, code, CASE WHEN count(r) OVER w >= 20 THEN greatest(0.05, stddev_samp(r) OVER w * sqrt(12)) END AS vol FROM (SELECT date, code, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM panel) WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)), ts AS (SELECT date, code, close / lag(close, 12) OVER (PARTITION BY code ORDER BY date) - 1 AS m FROM panel), tsmom AS (SELECT date, code, sign(m) * 0.1 / vol / count(*) OVER (PARTITION BY date) AS weight FROM ts JOIN vol USING (date, code) WHERE m IS NOT NULL AND vol > 0)"
+TSMOM = "vol AS (SELECT date, code, CASE WHEN count(r) OVER w >= 20 THEN greatest(0.05, stddev_samp(r) OVER w * sqrt(12)) END AS vol FROM (SELECT date, code, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM panel) WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)), ts AS (SELECT date, code, close / lag(close, 12) OVER (PARTITION BY code ORDER BY date) - 1 AS m FROM panel), tsmom AS (SELECT date, code, sign(m) * 0.1 / vol / count(*) OVER (PARTITION BY date) AS weight FROM ts JOIN vol USING (date, code) WHERE m <> 0 AND vol > 0)"
 
 
 def _tsmom(s, d):
@@ -631,7 +631,7 @@ def strategy_tsmom(s, d):
     return rounded(_tsmom(s, d))
 
 
-@query(f"WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, {weights_sql('z', 0.2, 20)}, {TSMOM} SELECT date, code, round(sum(weight) / 2, 6) AS weight FROM (SELECT date, code, weight FROM weights UNION ALL SELECT date, code, weight FROM tsmom WHERE weight <> 0) GROUP BY 1, 2")
+@query(f"WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, {weights_sql('z', 0.2, 20)}, {TSMOM} SELECT date, code, round(sum(weight) / 2, 6) AS weight FROM (SELECT date, code, weight FROM weights UNION ALL SELECT date, code, weight FROM tsmom WHERE weight <> 0) GROUP BY 1, 2 HAVING sum(weight) <> 0")
 def blend_weights(s, d):
     return rounded(sg.blend_weights([_weights(s, d), _tsmom(s, d)]))
 
@@ -797,3 +797,102 @@ def stream_tick_rule(s, d):
     from ..streaming.stateful import stream_tick_rule as rule
 
     return _streamed(s, d, rule, "rule").select("symbol", "seq", "sign")
+
+
+# Margin, flows, factors and orders
+
+MARGIN = "margin AS (SELECT o_orderdate::DATE AS \"Date\", o_custkey AS \"Code\", sum(o_totalprice) AS \"LongVol\", sum(o_orderkey % 7 * 1000.0) AS \"ShrtVol\" FROM orders GROUP BY 1, 2)"
+
+
+def _margin(s, d):
+    o = R.read(s, d, "orders")
+    return o.groupBy(F.to_date("o_orderdate").alias("Date"), F.col("o_custkey").alias("Code")).agg(F.sum("o_totalprice").alias("LongVol"), F.sum(F.col("o_orderkey") % 7 * 1000.0).alias("ShrtVol"))
+
+
+@query(f'WITH {MARGIN} SELECT "Date", "Code", round(("LongVol" - "ShrtVol") / nullif("LongVol" + "ShrtVol", 0), 8) AS margin_imbalance, round("ShrtVol" / nullif("LongVol", 0), 8) AS short_to_long FROM margin')
+def margin_imbalance(s, d):
+    return rounded(mf.margin_imbalance(_margin(s, d)), 8)
+
+
+@query('SELECT o_orderdate::DATE AS "CalcDate", o_custkey AS "Code", round(sum(o_totalprice / 1e7), 8) AS short_interest FROM orders GROUP BY 1, 2')
+def short_interest(s, d):
+    reports = R.read(s, d, "orders").select(F.to_date("o_orderdate").alias("CalcDate"), F.col("o_custkey").alias("Code"), (F.col("o_totalprice") / 1e7).alias("ShrtPosToSO"))
+    return rounded(mf.short_interest(reports), 8)
+
+
+@query("""WITH t AS (SELECT o_orderdate::DATE AS d, o_orderpriority AS p, sum(o_totalprice) FILTER (o_orderstatus = 'P') AS e, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS w, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS n FROM orders GROUP BY 1, 2)
+SELECT d AS "Date", p AS "S33", round((coalesce(w, 0) + coalesce(n, 0)) / nullif(coalesce(e, 0) + coalesce(w, 0) + coalesce(n, 0), 0), 8) AS sector_short_ratio FROM t""")
+def sector_short_ratio(s, d):
+    part = lambda status: F.sum(F.when(F.col("o_orderstatus") == status, F.col("o_totalprice")))
+    t = R.read(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("Date"), F.col("o_orderpriority").alias("S33")).agg(part("P").alias("SellExShortVa"), part("F").alias("ShrtWithResVa"), part("O").alias("ShrtNoResVa"))
+    return rounded(mf.sector_short_ratio(t), 8)
+
+
+FLOWS = """flows AS (SELECT o_orderpriority AS section, last_day(o_orderdate)::DATE AS e, o_orderdate::DATE AS p, sum(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END) AS bal, sum(o_totalprice) AS tot FROM orders GROUP BY 1, 2, 3),
+latest AS (SELECT e AS date, arg_max(bal, p) AS bal, arg_max(tot, p) AS tot FROM flows WHERE section = '1-URGENT' GROUP BY 1)"""
+
+
+def _flows(s, d):
+    o = R.read(s, d, "orders")
+    signed = F.when(F.col("o_orderstatus") == "F", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    return o.groupBy(F.col("o_orderpriority").alias("Section"), F.last_day("o_orderdate").alias("EnDate"), F.to_date("o_orderdate").alias("PubDate")).agg(F.sum(signed).alias("FrgnBal"), F.sum("o_totalprice").alias("FrgnTot"))
+
+
+@query(f"WITH {FLOWS} SELECT date, round(bal, 4) AS net_flow FROM latest")
+def section_net_flow(s, d):
+    return rounded(mf.section_net_flow(_flows(s, d), "Frgn", "1-URGENT"), 4)
+
+
+@query(f"WITH {FLOWS} SELECT date, round(bal / nullif(tot, 0), 8) AS intensity FROM latest")
+def net_flow_intensity(s, d):
+    return rounded(mf.net_flow_intensity(_flows(s, d), "Frgn", "1-URGENT"), 8)
+
+
+@query(f"""WITH {R.PANEL}, f AS (SELECT *, volume * 100 AS sh, CASE WHEN code % 5 > 0 THEN volume * (code % 3) * 60 END AS tr FROM panel),
+g AS (SELECT *, CASE WHEN coalesce(sh, 0) - coalesce(tr, 0) > 0 THEN close * (coalesce(sh, 0) - coalesce(tr, 0)) END AS cap FROM f)
+SELECT date, code, round(open / 10 / close, 8) AS earnings_yield, round(turnover / cap, 8) AS book_to_market, round(high * 100 / cap, 8) AS cf_yield, round(volume * 10 / cap, 8) AS sales_yield, round(low / 50 / close, 8) AS div_yield,
+round(open / turnover, 8) AS roe, round(open / (turnover * 2), 8) AS roa, round(open * 1.5 / (volume * 10), 8) AS op_margin, round(low / high, 8) AS equity_ratio, round((high * 100 - low) / (turnover * 2), 8) AS accruals, round(-ln(cap), 8) AS size,
+round(lag(close, 1) OVER w / lag(close, 12) OVER w - 1, 8) AS momentum FROM g WINDOW w AS (PARTITION BY code ORDER BY date)""")
+def value_quality_size_factors(s, d):
+    c = F.col
+    facts = {
+        "ShOutFY": c("volume") * 100, "TrShFY": F.when(c("code") % 5 > 0, c("volume") * (c("code") % 3) * 60), "FEPS": c("open") / 10, "Eq": c("turnover"), "CFO": c("high") * 100, "FSales": c("volume") * 10,
+        "FDivAnn": c("low") / 50, "FNP": c("open"), "TA": c("turnover") * 2, "FOP": c("open") * 1.5, "EqAR": c("low") / c("high"), "NP": c("low"), "adj_close": c("close"),
+    }
+    return rounded(panels.value_quality_size_factors(R.panel(s, d).withColumns(facts)), 8)
+
+
+HELD = "target AS (SELECT code, close / sum(close) OVER () AS weight FROM panel WHERE date = '1997-01-01'), held AS (SELECT code, close / sum(close) OVER () AS weight FROM panel WHERE date = '1996-12-01')"
+
+
+def _book(s, d, month):
+    p = R.panel(s, d).where(F.col("date") == F.lit(month).cast("timestamp"))
+    total = p.agg(F.sum("close").alias("_total"))
+    return p.join(F.broadcast(total)).select("code", (F.col("close") / F.col("_total")).alias("weight"))
+
+
+@query(f"WITH {R.PANEL}, {HELD}, b AS (SELECT coalesce(t.code, h.code) AS code, coalesce(t.weight, 0) AS t, coalesce(h.weight, 0) AS h FROM target t FULL JOIN held h ON t.code = h.code) SELECT code, round(CASE WHEN abs(t - h) >= 0.002 THEN t ELSE h END, 8) AS weight FROM b WHERE CASE WHEN abs(t - h) >= 0.002 THEN t ELSE h END <> 0")
+def banded_weights(s, d):
+    return rounded(production.banded_weights(_book(s, d, "1997-01-01"), _book(s, d, "1996-12-01"), 0.002), 8)
+
+
+@query("SELECT o_orderkey, round_even(o_totalprice / ((o_custkey + 1) * 10.0), 0)::BIGINT AS contracts FROM orders")
+def hedge_contracts(s, d):
+    return R.read(s, d, "orders").select("o_orderkey", production.hedge_contracts(F.col("o_totalprice"), F.col("o_custkey") + 1.0).alias("contracts"))
+
+
+@query("""WITH c AS (SELECT o_orderdate::DATE AS announce, (o_orderdate + INTERVAL 30 DAY)::DATE AS effective, o_custkey::VARCHAR AS out_code, CASE o_orderstatus WHEN 'F' THEN 'periodic' WHEN 'O' THEN 'demotion' ELSE 'delisting' END AS out_kind, o_orderkey::VARCHAR AS in_code, CASE o_orderpriority WHEN '1-URGENT' THEN 'extraordinary' WHEN '2-HIGH' THEN 'periodic' ELSE 'succession' END AS in_kind FROM orders)
+SELECT announce, effective, in_code || '0' AS code, in_kind AS kind, 1 AS side FROM c WHERE in_kind <> 'succession' UNION ALL SELECT announce, effective, out_code || '0', out_kind, -1 FROM c WHERE out_kind <> 'delisting'""")
+def index_change_legs(s, d):
+    o = R.read(s, d, "orders")
+    kind = lambda c, values, rest: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in values.items()), F.lit(rest))
+    changes = o.select(
+        F.to_date("o_orderdate").alias("announce"), F.date_add(F.to_date("o_orderdate"), 30).alias("effective"), F.col("o_custkey").alias("out_code"), kind("o_orderstatus", {"F": "periodic", "O": "demotion"}, "delisting").alias("out_kind"),
+        F.col("o_orderkey").alias("in_code"), kind("o_orderpriority", {"1-URGENT": "extraordinary", "2-HIGH": "periodic"}, "succession").alias("in_kind"),
+    )
+    return sg.index_change_legs(changes)
+
+
+@query()
+def frac_diff_table(s, d):
+    return rounded(tm.frac_diff_table(R.bars(s, d), (0.2, 0.4, 0.6, 0.8, 1.0), 1e-2), 4)

@@ -76,23 +76,22 @@ SECTORS = "sectors AS (SELECT s_suppkey AS code, n_regionkey AS sector FROM supp
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth bar's label lasts five bars."""
+    """Every bar's label lasts five bars."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    b = bars(spark, d).withColumns({"_n": F.row_number().over(w), "t1": F.lead("ts", 5).over(w)})
-    return b.where("_n % 3 = 1 AND t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1")
+    return bars(spark, d).withColumn("t1", F.lead("ts", 5).over(w)).where("t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1")
 
 
 LABELS = (
     BARS
     + """, labels3 AS (
   SELECT symbol, ts AS t0, t1 FROM (
-    SELECT symbol, ts, row_number() OVER w AS n, lead(ts, 5) OVER w AS t1 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
-  WHERE n % 3 = 1 AND t1 IS NOT NULL)"""
+    SELECT symbol, ts, lead(ts, 5) OVER w AS t1 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+  WHERE t1 IS NOT NULL)"""
 )
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
-    """A market series: the mean value of each day's events, as level and return."""
+    """A market series: the mean value of each hour's events, as level and return."""
     g = read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("date")).agg(F.avg("value").alias("level"))
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     return g.withColumn("ret", F.col("level") / F.lag("level").over(w) - 1)

@@ -12,8 +12,17 @@ TRADES = "ts timestamp, seq long, price double, volume double, side string"
 CANDLES = "ts timestamp, open double, high double, low double, close double, volume double"
 
 # Columns of the vendor's payloads that hold dates, and those that hold text.
-DATE_COLUMNS = ("Date", "DiscDate", "CalcDate", "PubDate", "StDate", "EnDate", "CurPerSt", "CurPerEn", "CurFYSt", "CurFYEn", "NxtFYSt", "NxtFYEn", "AppDate")
-TEXT_COLUMNS = ("Code", "CoName", "CoNameEn", "S17", "S17Nm", "S33", "S33Nm", "ScaleCat", "Mkt", "MktNm", "DocType", "CurPerType", "DiscNo", "DiscTime", "Section", "PubReason", "HolDiv", "SSName", "SSAddr", "DICName", "DICAddr", "FundName", "Notes")
+DATE_COLUMNS = ("Date", "DiscDate", "CalcDate", "PubDate", "StDate", "EnDate", "CurPerSt", "CurPerEn", "CurFYSt", "CurFYEn", "NxtFYSt", "NxtFYEn", "AppDate", "DisclosedDate", "CurrentPeriodEndDate", "CurrentFiscalYearEndDate", "PrevRptDate", "LTD", "SQD")
+# Columns of numbers, by payload; per investor type there are four.
+NUMBER_COLUMNS = frozenset(
+    "O H L C UL LL Vo Va AdjFactor AdjO AdjH AdjL AdjC AdjVo Open High Low Close Volume TurnoverValue UpperLimit LowerLimit AdjustmentFactor "
+    "AdjustmentOpen AdjustmentHigh AdjustmentLow AdjustmentClose AdjustmentVolume "
+    "Sales OP OdP NP EPS DEPS BPS Eq EqAR TA CFO CFI CFF CashEq FSales FOP FOdP FNP FEPS FDivAnn DivAnn ShOutFY TrShFY AvgSh "
+    "NetSales OperatingProfit OrdinaryProfit Profit EarningsPerShare BookValuePerShare Equity EquityToAssetRatio TotalAssets "
+    "ShrtVol LongVol ShrtNegVol LongNegVol ShrtStdVol LongStdVol ShrtOut ShrtOutChg ShrtOutRatio LongOut LongOutChg LongOutRatio SLRatio "
+    "ShrtNegOut ShrtNegOutChg ShrtStdOut ShrtStdOutChg LongNegOut LongNegOutChg LongStdOut LongStdOutChg SellExShortVa ShrtWithResVa ShrtNoResVa "
+    "ShrtPosToSO ShrtPosShares ShrtPosUnits PrevRptRatio EO EH EL EC AO AH AL AC OI VoOA Strike Settle Theo BaseVol UnderPx IV IR".split()
+) | {f"{who}{what}" for who in "Prop Brk Tot Ind Frgn SecCo InvTr BusCo OthCo InsCo Bank TrstBnk OthFin".split() for what in ("Sell", "Buy", "Tot", "Bal")}
 PRICE_PRIORITY = ("AdjC", "AdjustmentClose", "C", "Close")
 
 
@@ -36,7 +45,8 @@ def records(spark: SparkSession, rows: Iterable[Mapping], columns: Sequence[str]
 
 
 def coerce(df: DataFrame) -> DataFrame:
-    out = [mixed_date(c).alias(c) if c in DATE_COLUMNS else F.col(c) if c in TEXT_COLUMNS else number(c).alias(c) for c in df.columns]
+    """Known dates and numbers are cast, what doesn't parse becomes NULL; all other columns stay as they are."""
+    out = [mixed_date(c).alias(c) if c in DATE_COLUMNS else number(c).alias(c) if c in NUMBER_COLUMNS else F.col(f"`{c}`") for c in df.columns]
     return df.select(*out)
 
 
