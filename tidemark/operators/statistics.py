@@ -114,6 +114,7 @@ def weighted_track(returns: DataFrame, hold: str) -> DataFrame:
 def robustness_score(worst_sub: Column, positive_share: Column, max_dd: Column, turnover: Column) -> Column:
     """0 to 1, for display: the worst subperiod's Sharpe ratio (-1 to 1), the share of positive ones, drawdown (0 to 30 %), turnover (0 to 2)."""
     bound = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+    # The weights of the four parts, and their ranges
     return 0.4 * bound((worst_sub + 1) / 2) + 0.2 * positive_share + 0.2 * bound(1 - F.abs(max_dd) / 0.3) + 0.2 * bound(1 - turnover / 2)
 
 

@@ -1,8 +1,8 @@
 """Named queries over the test tables, with the SQL that must give the same rows.
 
 Doubles are rounded on both sides, as sums in another order differ in their last
-digits. Queries without SQL are recursions and iterations that tests hold
-against plain Python.
+digits. Queries without SQL are recursions, iterations and fits; README lists
+those whose values no test checks.
 """
 
 from __future__ import annotations
@@ -773,7 +773,10 @@ def _streamed(s, d, make, name):
     import tempfile
     import uuid
 
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"file://{tempfile.mkdtemp()}"
     at = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = R.read(s, d, "events").schema
     source = s.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream wants a folder or a pattern
