@@ -131,7 +131,9 @@ def residualise_one(s, d):
     return rounded(panels.residualize(p, "y", ["x"]).select("date", "code", "resid"), 4)
 
 
-@query()
+@query(f"""WITH {R.PANEL}, x AS (SELECT date, code, close AS y, ln(turnover) AS a, ln(volume) AS b FROM panel),
+m AS (SELECT date, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb FROM x GROUP BY 1)
+SELECT date, code, round(y - my - (ya * bb - yb * ab) / (aa * bb - ab * ab) * (a - ma) - (yb * aa - ya * ab) / (aa * bb - ab * ab) * (b - mb), 4) AS resid FROM x JOIN m USING (date)""")
 def residualise_many(s, d):
     p = R.panel(s, d).select("date", "code", F.col("close").alias("y"), F.log("turnover").alias("a"), F.log("volume").alias("b"))
     return rounded(panels.residualize(p, "y", ["a", "b"]).select("date", "code", "resid"), 4)
@@ -641,7 +643,7 @@ def strategy_regime_gated(s, d):
     return rounded(sg.RegimeGated(sg.Replay(_tsmom(s, d)), _regime(s, d), sizing={0.0: 1.0, 1.0: 0.5}).weights(R.panel(s, d)))
 
 
-@query()
+@query(f"WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, {weights_sql('z', 0.2, 20)}, {TSMOM}, {REGIME} SELECT t.date, code, round(weight, 6) AS weight FROM (SELECT date, code, weight, 0.0 AS of FROM tsmom WHERE weight <> 0 UNION ALL SELECT date, code, weight, 1.0 FROM weights) t ASOF JOIN reg r ON t.date >= r.date WHERE regime = of")
 def strategy_regime_switch(s, d):
     return rounded(sg.RegimeSwitch(_regime(s, d), {0.0: sg.Replay(_tsmom(s, d)), 1.0: sg.Replay(_weights(s, d))}).weights(R.panel(s, d)))
 
@@ -759,7 +761,7 @@ def event_returns(s, d):
     return rounded(sd.event_returns(p, w), 5)
 
 
-@query()
+@query(f"WITH {R.DAILY}, r AS (SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS ret FROM daily), v AS (SELECT date, stddev_samp(ret) OVER (ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS vol FROM r) SELECT date, round(CASE WHEN vol <> 0 THEN greatest(0.0, least(3.0, (SELECT quantile_cont(vol, 0.5) FROM v) / vol)) END, 6) AS weight FROM v")
 def vol_target_weights(s, d):
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(-23, 0)
     return rounded(sd.vol_target_weights(R.daily(s, d).select("date", F.stddev_samp("ret").over(w).alias("vol"))))
