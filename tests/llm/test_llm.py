@@ -45,6 +45,35 @@ def rows(sample):
     return sample.orderBy("doc_id").collect()
 
 
+# every operator: empty tables, null and repeated ids, clashing columns
+
+PER_ROW = {
+    "licenses": licenses.scan_licenses,
+    "secrets": secrets.scan_secrets,
+    "simhash": lambda d: simhash.near_duplicates(d),
+    "token_counts": lambda d: token_counts.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")),
+    "media": media.store_media,
+    "quality": lambda d: quality.score_quality(d, d.sparkSession.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")),
+}
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_a_row_for_every_row(spark, name):
+    """Rows without an id or with one that repeats stay; columns of other names don't matter; no rows give none."""
+    texts = ["some words here", "some words here", None, "", "others"]
+    got = PER_ROW[name](docs(spark, texts, ids=[None, None, 7, 7, None])).collect()
+    assert len(got) == 5 and sorted(r["doc_id"] is None for r in got) == [False, False, True, True, True]
+    assert PER_ROW[name](docs(spark, [])).count() == 0
+
+
+def test_html_rows(spark, trees):
+    rows = [(None, "u", "<p>a b c</p>", 1), (None, "u", "<p>a b c</p>", 1), (3, None, None, 2)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = html_extraction.extract_text(table, trees).collect()
+    assert len(got) == 3 and len({r["text"] for r in got if r["page_id"] is None}) == 1
+    assert html_extraction.extract_text(table.limit(0), trees).count() == 0
+
+
 # 1 language ID
 
 
