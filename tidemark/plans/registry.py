@@ -22,6 +22,7 @@ from ..operators import strategies as sg
 from ..operators import studies as sd
 from ..operators import timeseries as tm
 from ..sources import store
+from . import recursions as X
 from . import relations as R
 
 QUERIES: dict[str, Callable] = {}
@@ -307,7 +308,7 @@ def tick_bars(s, d):
     return rounded(B.tick_bars(R.trades(s, d), 40), 4)
 
 
-@query()
+@query(X.IMBALANCE_BARS)
 def dollar_imbalance_bars(s, d):
     return rounded(B.dollar_imbalance_bars(R.trades(s, d), 3000.0), 4)
 
@@ -361,17 +362,17 @@ def rsi(s, d):
     return rounded(microstructure.rsi(R.bars(s, d)), 5)
 
 
-@query()
+@query(X.VPIN)
 def vpin(s, d):
     return rounded(microstructure.vpin(R.bars(s, d), 20, 20))
 
 
-@query()
+@query(X.FRAC_DIFF)
 def frac_diff(s, d):
     return rounded(microstructure.frac_diff(R.bars(s, d), 0.4, 1e-2))
 
 
-@query()
+@query(X.CAUSAL)
 def causal_direction(s, d):
     li = R.read(s, d, "lineitem")
     return rounded(microstructure.causal_direction(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"))
@@ -433,7 +434,7 @@ def track_moments(s, d):
     return m.select("strategy", "n_obs", F.round("sr", 6).alias("sr"), F.round("skew", 5).alias("skew"), F.round("kurt", 5).alias("kurt"))
 
 
-@query()
+@query(X.DEFLATED)
 def deflated_sharpe_table(s, d):
     return rounded(st.deflated_sharpe_table(R.sleeves(s, d), "strategy"))
 
@@ -458,7 +459,7 @@ def pre_post_sharpe(s, d):
     return rounded(st.pre_post_sharpe(R.sleeves(s, d), ["strategy"], "1998-01-01"))
 
 
-@query()
+@query(X.PBO)
 def pbo(s, d):
     return rounded(st.pbo(R.sleeves(s, d)))
 
@@ -496,7 +497,7 @@ def interval_purge(s, d):
     return st.purged_train(lab, spans)
 
 
-@query()
+@query(X.SPLITS)
 def cpcv_splits(s, d):
     w = Window.partitionBy(F.lit(0)).orderBy("t0", "symbol")
     lab = R.labels(s, d).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
@@ -534,7 +535,7 @@ def hedge_ratios(s, d):
     return h.select("pair", F.round("ols", 6).alias("ols"), F.round("tls", 4).alias("tls"))
 
 
-@query()
+@query(X.KALMAN)
 def kalman_hedge(s, d):
     return rounded(tm.kalman_hedge(_pairs(s, d)))
 
@@ -549,12 +550,12 @@ def cointegration_test(s, d):
     return rounded(tm.cadf(_pairs(s, d)), 4)
 
 
-@query()
+@query(X.HURST)
 def hurst_exponent(s, d):
     return rounded(tm.hurst_exponent(R.bars(s, d), 40), 5)
 
 
-@query()
+@query(X.EWM_VOLATILITY)
 def ewm_volatility(s, d):
     return rounded(labels.get_vol(R.bars(s, d), 20))
 
@@ -566,6 +567,7 @@ def _weights(s, d):
     return panels.quantile_weights(momentum_factor(s, d)).withColumn("strategy", F.lit("mom"))
 
 
+BOOK = f"{R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, {weights_sql('z', 0.2, 20)}"
 REPLAY = f"""WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, {FWD}, {weights_sql('z', 0.2, 20)},
 pos AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM (SELECT DISTINCT date FROM panel)),
 names AS (SELECT DISTINCT code FROM weights), grid AS (SELECT date, p, code, coalesce(weight, 0) AS w FROM pos CROSS JOIN names LEFT JOIN weights USING (date, code)),
@@ -581,7 +583,7 @@ def backtest_net(s, d):
     return rounded(r.drop("blocked", "capacity"))
 
 
-@query()
+@query(X.frictions(BOOK))
 def backtest_frictions(s, d):
     p = R.panel(s, d)
     even = F.month("date") % 2 == 0
@@ -591,13 +593,13 @@ def backtest_frictions(s, d):
     return rounded(r)
 
 
-@query()
+@query(X.rebalance_band(BOOK))
 def rebalance_band(s, d):
     w = _weights(s, d)
     return rounded(bt.apply_rebalance_band(w, w.select("date").distinct(), 0.02))
 
 
-@query()
+@query(X.open_fill(BOOK))
 def open_fill(s, d):
     p = R.panel(s, d)
     w = _weights(s, d).withColumn("date", F.last_day("date").cast("timestamp"))
