@@ -5,6 +5,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,3 +479,113 @@ def test_value_factors_follow_forecasts(spark):
     r = panels.value_quality_size_factors(pit).orderBy("date").collect()
     assert r[0]["earnings_yield"] == pytest.approx(0.05) and r[0]["roe"] is None and r[0]["size"] == pytest.approx(-math.log(600)) and r[0]["div_yield"] is None
     assert r[0]["momentum"] is None and r[13]["momentum"] == pytest.approx(112 / 101 - 1)
+
+
+def test_bars_of_batches_equal_bars_of_ticks():
+    rng = np.random.default_rng(5)
+    n = 3000
+    ts, price, volume = pd.date_range("2024-01-01", periods=n, freq="s"), rng.uniform(90, 110, n), rng.integers(0, 5, n).astype(float)
+    for signed in (False, True):
+        inc = price * volume * (rng.choice([-1.0, 1.0], n) if signed else 1)
+        for threshold in (1.0, 777.0, 20000.0, 1e12):
+            one, many = (B.ThresholdBar(threshold, signed) for _ in range(2))
+            want = [b for row in zip(ts, price.tolist(), volume.tolist(), inc.tolist()) if (b := one.step(*row)) is not None]
+            cuts = [0, 1, 2, 700, 701, 2999, n]
+            got = [b for a, z in zip(cuts, cuts[1:]) for b in many.run(ts.array[a:z], price[a:z], volume[a:z], inc[a:z])]
+            assert got == want and many.total == one.total
+
+
+def test_settings(tmp_path, monkeypatch):
+    from tidemark.sources.settings import get_env
+
+    file = tmp_path / ".env"
+    file.write_text("# a comment\n\nTM_A = 'one'\nTM_B=two=2\nTM_C=file\nno value\n")
+    monkeypatch.setenv("TM_C", "set")
+    for name in ("TM_A", "TM_B"):
+        monkeypatch.setenv(name, "")
+        monkeypatch.delenv(name)
+    assert [get_env(n, path=str(file)) for n in ("TM_A", "TM_B", "TM_C", "TM_D")] == ["one", "two=2", "set", None]
+    assert get_env("TM_D", "other", str(tmp_path / "absent")) == "other"
+    for name in ("TM_A", "TM_B"):
+        monkeypatch.delenv(name)
+
+
+def test_external_series(spark, tmp_path):
+    from tidemark.sources import external as ex
+
+    spark.createDataFrame([(day(0), "1"), (day(0) + dt.timedelta(hours=5), "2"), (day(1), "x"), (day(2), "4")], "date timestamp, close string").write.parquet(str(tmp_path / "a.parquet"))
+    got = ex.load_external_prices(spark, str(tmp_path), {"a": "a.parquet", "b": "absent"}, start="2024-01-01", end="2024-01-02")
+    assert [(r.key, r.value) for r in got.orderBy("date").collect()] == [("a", 2.0), ("a", None)]
+    assert ex.load_external_prices(spark, str(tmp_path), {"a": "a.parquet"}, keys=["c"]).count() == 0
+    spark.createDataFrame([(day(0), 1.5, 9.0)], "date timestamp, vix double, vix_dup4 double").write.parquet(str(tmp_path / "m"))
+    assert [tuple(r)[1:] for r in ex.load_macro(spark, str(tmp_path / "m")).collect()] == [("vix", 1.5)]
+    assert ex.load_macro(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_publisher(spark, tmp_path):
+    import sqlite3
+
+    from tidemark.sources.publish import Publisher, decode_file, encode_file
+
+    connect = lambda: sqlite3.connect(tmp_path / "db")
+    c = connect()
+    c.executescript("create table months (month text primary key, ret real); create table files (path text primary key, content text, encoding text)")
+    p = Publisher(connect)
+    rows = lambda *r: spark.createDataFrame(list(r), "month string, ret double")
+    assert p.replace("months", rows(("a", 1.0), ("b", None))) == 2
+    p.upsert("months", rows(("b", 2.0), ("c", 3.0)), ["month"])
+    assert c.execute("select * from months order by 1").fetchall() == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    with pytest.raises(sqlite3.IntegrityError):
+        p.replace("months", rows(("z", 1.0), ("z", 1.0)))
+    assert c.execute("select count(*) from months").fetchone() == (3,)  # rolled back
+    files = {"a.json": "ä".encode(), "b.parquet": b"\xff\x00"}
+    p.put_files("files", files)
+    p.put_files("files", files)
+    assert {n: decode_file(t, e) for n, t, e in c.execute("select * from files")} == files
+    assert encode_file("b.bin", b"\x00") == ("AA==", "base64")
+
+
+def test_dashboard_and_previous_weights(spark):
+    from tidemark.plans import judge
+
+    intended = spark.createDataFrame([("2024-01", "s", "A", 0.1), ("2024-02", "s", "B", 0.2), ("2024-02", "t", "C", 0.3), ("2024-03", "s", "D", 0.4)], "month string, sleeve string, code string, weight double")
+    assert [tuple(r) for r in production.previous_weights(intended, "2024-03", "s").collect()] == [("B", 0.2)]
+    assert production.previous_weights(intended, "2024-01", "s").count() == 0
+    daily = spark.createDataFrame([("2024-01-02", None)], "date string, net double")
+    got = judge.dashboard({"ok": 1}, intended.select("month", "weight").where("code in ('A', 'D')"), daily, intended)
+    assert got["latest"] == "2024-03" and [o["code"] for o in got["orders"]] == ["D"] and got["daily"] == [{"date": "2024-01-02", "net": None}]
+    page = judge.index_page([("a<b", 2, 0.5), ("c", 3, 0.1)], ["c"])
+    assert "5 trials" in page and "a&lt;b" in page and "c.html" in page and "b.html" not in page
+
+
+def test_kelly_summary():
+    assert portfolio.kelly_summary({"full": 2.0, "used": 1.0, "growth": 0.2, "growth_used": 0.15}) == "f*=2.00, used 1.00; growth a year +15.0%, full +20.0%"
+
+
+def test_store_round(spark, tmp_path):
+    raw, silver, features = (str(tmp_path / n) for n in ("raw", "silver", "features"))
+    rows = [((T0 + dt.timedelta(days=i)).date().isoformat(), "7203", 100.0 + i, 1.0) for i in range(40)]
+    spark.createDataFrame(rows, "Date string, Code string, C double, AdjFactor double").write.parquet(raw)
+    store.materialize_all(spark, raw, silver, features)
+    f = store.load_feature(spark, features, "ret", "2024-01-02", "2024-01-03")
+    assert f.columns == ["date", "code", "ret"] and f.count() == 2
+    assert store.load_feature(spark, features, "level").columns == ["date", "level"]
+    assert store.load_feature(spark, features, "nothing") is None
+
+
+def test_mask_to_days_ends_with_the_month(spark):
+    from tidemark.operators import studies
+
+    mask = spark.createDataFrame([(day(10), "A", True), (day(10), "B", False), (day(20), "B", True)], "date timestamp, code string, member boolean")
+    days = spark.createDataFrame([(day(n),) for n in (5, 10, 15, 25)], "date timestamp")
+    got = {(r.date.day - 1, r.code): r.member for r in studies.mask_to_days(mask, days).collect()}
+    assert [got[(n, "A")] for n in (5, 10, 15, 25)] == [False, True, True, False]
+    assert [got[(n, "B")] for n in (5, 10, 15, 25)] == [False, False, False, True]
+
+
+def test_r_squared(spark):
+    from tidemark.operators import studies
+
+    d = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 2.0), (4.0, None)], "y double, pred double")
+    r = studies.r_squared(d).first()
+    assert r.n == 3 and math.isclose(r.r2, 0.5)

@@ -43,7 +43,10 @@ class Carry:
 
 
 def carry_weights(grid: DataFrame, band: float = 0.0, flags: DataFrame | None = None) -> DataFrame:
-    """(strategy, code, date, pos, before, held, blocked)."""
+    """(strategy, code, date, pos, before, held, blocked). A recursion only where orders can fail to be filled."""
+    if flags is None and not band:
+        before = F.coalesce(F.lag("target").over(Window.partitionBy("strategy", "code").orderBy("pos")), F.lit(0.0))
+        return grid.select("strategy", "code", "date", "pos", before.alias("before"), F.col("target").alias("held"), F.lit(0).alias("blocked"))
     if flags is None:
         grid = grid.withColumns({"no_buy": F.lit(False), "no_sell": F.lit(False)})
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +41,46 @@ class ThresholdBar:
         self.total += increment
         if (abs(self.total) if self.signed else self.total) < self.threshold:
             return None
+        return self._close(ts, price)
+
+    def _close(self, ts, price):
         bar = (self.n_bars, self.open, self.high, self.low, price, self.volume, self.dollar, self.dollar / self.volume if self.volume else None, self.n, self.start, ts)
         bar += (self.total,) * self.signed
         self.n_bars += 1
         self.reset()
         return bar
 
+    def _end(self, increments: np.ndarray, start: int) -> int | None:
+        """Adds up from ``start`` on, in growing pieces; where the open bar closes."""
+        size = 64
+        while start < len(increments):
+            sums = np.cumsum(np.concatenate(([self.total], increments[start : start + size])))[1:]  # one after another, as ``step`` adds
+            hit = ~((np.abs(sums) if self.signed else sums) < self.threshold)
+            if hit.any():
+                at = int(hit.argmax())
+                self.total = float(sums[at])
+                return start + at
+            self.total, start, size = float(sums[-1]), start + len(sums), size * 4
+        return None
+
+    def run(self, ts, price, volume, increment) -> list[tuple]:
+        """The bars that close within one batch: work per bar, not per tick. The same bars as ``step`` gives."""
+        price, volume, increment = (np.asarray(c, float) for c in (price, volume, increment))
+        dollar, bars, i = price * volume, [], 0
+        while i < len(price):
+            if self.n == 0:
+                self.open, self.start = float(price[i]), ts[i]
+            end = self._end(increment, i)
+            stop = len(price) if end is None else end + 1
+            self.n += stop - i
+            self.high, self.low = max(self.high, float(np.fmax.reduce(price[i:stop]))), min(self.low, float(np.fmin.reduce(price[i:stop])))
+            self.volume = float(np.cumsum(np.concatenate(([self.volume], volume[i:stop])))[-1])
+            self.dollar = float(np.cumsum(np.concatenate(([self.dollar], dollar[i:stop])))[-1])
+            if end is not None:
+                bars.append(self._close(ts[end], float(price[end])))
+            i = stop
+        return bars
+
 
 def _check(threshold: float) -> None:
     if not threshold > 0:

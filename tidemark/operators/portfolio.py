@@ -201,3 +201,8 @@ def kelly(returns: DataFrame, by: list[str], fraction: float = 0.5, value: str =
 
 def kelly_weights(mu: np.ndarray, cov: np.ndarray, fraction: float = 0.5) -> np.ndarray:
     return fraction * np.linalg.solve(cov, np.asarray(mu, float))
+
+
+def kelly_summary(row) -> str:
+    """One line about a row of ``kelly``."""
+    return f"f*={row['full']:.2f}, used {row['used']:.2f}; growth a year {row['growth_used']:+.1%}, full {row['growth']:+.1%}"

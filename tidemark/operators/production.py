@@ -96,3 +96,13 @@ def daily_pnl_curve(positions: DataFrame, prices: DataFrame) -> DataFrame:
 def month_chain(months: DataFrame) -> DataFrame:
     """(month, nav): chain-linked monthly returns."""
     return months.select("month", F.product(1 + F.col("ret")).over(so_far(Window.partitionBy(F.lit(0)).orderBy("month"))).alias("nav"))
+
+
+def previous_weights(intended: DataFrame, month: str, sleeve: str) -> DataFrame:
+    """(code, weight): what a sleeve intended in the last month on record before ``month``; empty without one.
+
+    ``intended``: month, sleeve, code, weight. The month is the last of any sleeve.
+    """
+    before = intended.where(F.col("month") < month)
+    last = before.agg(F.max("month").alias("_last"))
+    return before.join(F.broadcast(last), F.col("month") == F.col("_last")).where(F.col("sleeve") == sleeve).select("code", "weight")  # one row

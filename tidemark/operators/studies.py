@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import change, clip, percent_rank_avg, ratio, so_far, z_score
+from ..functions.semantics import change, clip, guarded, percent_rank_avg, ratio, so_far, trailing, z_score
 from .joins import asof_backward, interval_join
+from .panels import long_short_returns, sector_neutralize, zscore_cross_section
+from .statistics import expanding_tertile, expected_max_sharpe, psr, time_decayed_sharpe, track_moments
 
 
 def factor_returns(signal: DataFrame, fwd: DataFrame, q: float = 0.2, min_assets: int = 5, value: str = "value") -> DataFrame:
@@ -122,3 +124,105 @@ def order_rows(equity: DataFrame, lots: DataFrame) -> DataFrame:
     """Orders of both kinds as one table (kind, code, quantity, notional)."""
     a = equity.select(F.lit("equity").alias("kind"), "code", F.col("shares").cast("double").alias("quantity"), "notional")
     return a.unionByName(lots.select(F.lit("lots").alias("kind"), "code", F.col("lots").alias("quantity"), F.col("filled").alias("notional")))
+
+
+def two_sided(returns: DataFrame, by: list[str], variance: float, n_trials: int, halflife: float = 36.0, ann: float = 12.0, value: str = "ret", least: int = 8) -> DataFrame:
+    """(by, sharpe, decayed, dsr, side): the better of a record and its mirror image; ``side`` is 1 or -1.
+
+    NULL under ``least`` returns or without variance. The trials' variance and number are given.
+    """
+    m = track_moments(returns, by, value)
+    best = F.lit(expected_max_sharpe(n_trials, variance))
+    up = psr(F.col("sr"), best, F.col("n_obs"), F.col("skew"), F.col("kurt"))
+    down = psr(-F.col("sr"), best, F.col("n_obs"), -F.col("skew"), F.col("kurt"))
+    late = time_decayed_sharpe(returns, by, halflife, ann, value).withColumnRenamed("decayed_sharpe", "_late")
+    d = m.join(late, by).withColumns({"_up": up, "_down": down, "_ok": (F.col("n_obs") >= least) & F.col("sr").isNotNull()})
+    keep = lambda c: F.when(F.col("_ok"), c)
+    return d.select(*by, keep(F.col("sr") * ann**0.5).alias("sharpe"), keep(F.col("_late")).alias("decayed"), keep(F.greatest("_up", "_down")).alias("dsr"), keep(F.when(F.col("_up") >= F.col("_down"), 1).otherwise(-1)).alias("side"))
+
+
+def evaluate_factor(factor: DataFrame, sectors: DataFrame, fwd: DataFrame, quantile: float = 0.2, costs_bps: float = 15.0, min_names: int = 20, least: int = 8, ann: float = 12.0) -> DataFrame:
+    """(n, mean, sharpe, sharpe_ann) of a factor made neutral to sectors, scaled and traded long and short; NULL under ``least`` dates.
+
+    ``factor``: date, code, value.
+    """
+    z = zscore_cross_section(sector_neutralize(factor, sectors))
+    r = long_short_returns(z, fwd, quantile=quantile, costs_bps=costs_bps, min_names=min_names)
+    g = r.agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("_sd"))
+    ok = (F.col("n") >= least) & (F.col("_sd") > 0)
+    sr = F.when(ok, F.col("mean") / F.col("_sd"))
+    return g.select("n", F.when(ok, F.col("mean")).alias("mean"), sr.alias("sharpe"), (sr * ann**0.5).alias("sharpe_ann"))
+
+
+def split_evidence(returns: DataFrame, split: str, by: list[str], ann: float = 12.0, value: str = "ret", least: int = 8) -> DataFrame:
+    """(by, sharpe_in, sharpe_out, psr_out, hit_out): a record before and from ``split`` on; NULL under ``least`` returns."""
+    late = F.col("date") >= F.lit(split).cast("timestamp")
+    d = returns.where(F.col(value).isNotNull())
+    before, after = (track_moments(d.where(c), by, value).where((F.col("n_obs") >= least) & F.col("sr").isNotNull()) for c in (~late, late))
+    hit = d.where(late).groupBy(*by).agg(F.avg((F.col(value) > 0).cast("double")).alias("_hit"))
+    a = before.select(*by, (F.col("sr") * ann**0.5).alias("sharpe_in"))
+    b = after.join(hit, by).select(*by, (F.col("sr") * ann**0.5).alias("sharpe_out"), psr(F.col("sr"), F.lit(0.0), F.col("n_obs"), F.col("skew"), F.col("kurt")).alias("psr_out"), F.col("_hit").alias("hit_out"))
+    return d.select(*by).distinct().join(a, by, "left").join(b, by, "left")
+
+
+def align_sleeves(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(date, base, other): returns of the same month, each from a calendar of its own, at the base's date.
+
+    The other sleeve's last row of a month counts; months without both drop out.
+    """
+    month = F.trunc("date", "MM").alias("_m")
+    o = other.groupBy(month).agg(F.max_by("ret", "date").alias("other"))
+    b = base.groupBy(month).agg(F.min("date").alias("date"), F.min_by("ret", "date").alias("base"))
+    return b.join(o, "_m").where("base is not null and other is not null").select("date", "base", "other")
+
+
+def mask_to_days(mask: DataFrame, days: DataFrame) -> DataFrame:
+    """(date, code, member): a month's members (date, code, member) on every later day up to the next month's; no member before or if absent.
+
+    One row per day and name that is ever a member. Days find their month by one
+    as-of over dates alone, so that a name missing from the newest month isn't carried on.
+    """
+    months = mask.select(F.col("date").alias("_m")).distinct()
+    placed = asof_backward(days.select("date").distinct(), months.withColumn("_at", F.col("_m")), "date", "_m", ["_at"])
+    names = mask.where("member").select("code").distinct()
+    packed = placed.agg(F.collect_list(F.struct("date", "_at")).alias("_d"))  # one row: days of a calendar
+    grid = names.join(F.broadcast(packed)).select("code", F.explode("_d").alias("d")).select("d.date", "code", "d._at")
+    now = mask.select(F.col("date").alias("_at"), "code", "member")
+    return grid.join(now, ["_at", "code"], "left").select("date", "code", F.coalesce("member", F.lit(False)).alias("member"))
+
+
+def mask_out(factor: DataFrame, events: DataFrame, value: str = "value") -> DataFrame:
+    """A factor without its values where ``events`` (date, code, flagged) are flagged."""
+    d = factor.join(events.where("flagged").select("date", "code", F.lit(True).alias("_f")).distinct(), ["date", "code"], "left")
+    return d.withColumn(value, F.when(F.col("_f").isNull(), F.col(value))).drop("_f")
+
+
+def own_momentum_labels(returns: DataFrame, lookback: int = 12, min_periods: int = 36) -> DataFrame:
+    """(date, ret, sign, tertile): a track record beside the sign and the tertile so far of its own past ``lookback`` returns."""
+    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    past = w.rowsBetween(-lookback, -1)
+    trail = F.when(F.count("ret").over(past) == lookback, F.sum("ret").over(past))
+    d = returns.select("date", "ret", trail.alias("trail"))
+    t = expanding_tertile(d.select("date", "trail"), "trail", min_periods, out="tertile")
+    return d.join(t, "date").select("date", "ret", F.when(F.col("trail") != 0, F.signum("trail")).alias("sign"), "tertile")
+
+
+def volatility_targets(bars: DataFrame, horizon: int = 6) -> DataFrame:
+    """(symbol, ts, rv5, rv10, rv_h, absret, ret, logvol, cur_logvol, t_vol, t_ret): features known at each bar and the outcomes ``horizon`` bars ahead.
+
+    Rows with a missing value drop out. The outcomes are the log deviation and the return of the next ``horizon`` bars.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    d = bars.select("symbol", "ts", "close", "volume", (ratio("close", F.lag("close").over(w)) - 1).alias("ret"))
+    d = d.withColumns({n: guarded(F.stddev_samp("ret"), "ret", trailing(w, k), k) for n, k in (("rv5", 5), ("rv10", 10), ("rv_h", horizon))})
+    log = lambda c: F.when(F.col(c) > 0, F.log(c))
+    d = d.withColumns({"absret": F.abs("ret"), "logvol": log("volume"), "cur_logvol": log("rv_h"), "t_ret": ratio(F.lead("close", horizon).over(w), "close") - 1})
+    d = d.withColumn("t_vol", F.lead("cur_logvol", horizon).over(w))
+    return d.select("symbol", "ts", "rv5", "rv10", "rv_h", "absret", "ret", "logvol", "cur_logvol", "t_vol", "t_ret").dropna()
+
+
+def r_squared(predictions: DataFrame, actual: str = "y", predicted: str = "pred") -> DataFrame:
+    """(r2, n): one less squared errors over squared deviations from the mean."""
+    a, p = F.col(actual), F.col(predicted)
+    d = predictions.where(a.isNotNull() & p.isNotNull())
+    return d.agg((1 - F.try_divide(F.sum((a - p) ** 2), F.var_pop(a) * F.count(a))).alias("r2"), F.count(F.lit(1)).alias("n"))

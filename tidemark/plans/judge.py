@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -126,3 +127,18 @@ def month_rows(results: DataFrame) -> DataFrame:
     return results.groupBy("strategy", F.trunc("date", "MM").alias("month")).agg((F.product(1 + F.col("net")) - 1).alias("ret"))
 
 
+
+
+def index_page(scopes: Sequence[tuple[str, int, float]], reports: Sequence[str]) -> str:
+    """HTML list of scopes (name, trials, variance of Sharpe ratios), linked where there is a report of that name."""
+    line = lambda name: f"<a href='{html.escape(name)}.html'>{html.escape(name)}</a>" if name in reports else html.escape(name)
+    body = "".join(f"<tr><td>{line(n)}</td><td>{k}</td><td>{v:.4f}</td></tr>" for n, k, v in scopes)
+    return f"<!doctype html><meta charset='utf-8'><title>Trials</title><h1>{len(scopes)} scopes, {sum(k for _, k, _ in scopes)} trials</h1><table><tr><th>scope</th><th>trials</th><th>variance</th></tr>{body}</table>"
+
+
+def dashboard(status: dict, months: DataFrame, daily: DataFrame, orders: DataFrame) -> dict:
+    """What a status page shows, safe for JSON: all months and days, and the newest month's orders (month, ...)."""
+    rows = lambda df, *by: [json.loads(r) for (r,) in df.orderBy(*by).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    listed = rows(months, "month")
+    latest = listed[-1]["month"] if listed else None
+    return {"status": status, "months": listed, "daily": rows(daily, "date"), "orders": rows(orders.where(F.col("month") == latest), "code") if listed else [], "latest": latest}

@@ -93,6 +93,30 @@ def materialize_features(spark: SparkSession, panel: DataFrame, path: str) -> No
     build_regime(panel).write.mode("overwrite").parquet(f"{path}/regime")
 
 
+def load_feature(spark: SparkSession, path: str, name: str, start: str | None = None, end: str | None = None) -> DataFrame | None:
+    """(date, code, name) of the price features, or (date, name) of the market's regimes; None where neither is there."""
+    for table in ("features", "regime"):
+        if exists(spark, f"{path}/{table}"):
+            d = spark.read.parquet(f"{path}/{table}")
+            if name in d.columns:
+                if start:
+                    d = d.where(F.col("date") >= F.lit(start).cast("date"))
+                if end:
+                    d = d.where(F.col("date") <= F.lit(end).cast("date"))
+                return d.select(*(c for c in ("date", "code") if c in d.columns), name)
+    return None
+
+
+def materialize_all(spark: SparkSession, raw: str, silver: str, features: str) -> DataFrame:
+    """The daily round: new dates into the silver table, adjusted prices and features from it; the dates added."""
+    added = materialize_long(spark, raw, silver)
+    panel = spark.read.parquet(silver)
+    if "adj_factor" in panel.columns:
+        panel = rebuild_adjusted(panel)
+    materialize_features(spark, panel, features)
+    return added
+
+
 def build_regime(panel: DataFrame, vol_window: int = 60, trend_window: int = 200, min_periods: int = 252) -> DataFrame:
     """(date, ret, level, vol_regime, trend_up)."""
     m = equal_weight_market(panel)
