@@ -589,3 +589,55 @@ def test_r_squared(spark):
     d = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 2.0), (4.0, None)], "y double, pred double")
     r = studies.r_squared(d).first()
     assert r.n == 3 and math.isclose(r.r2, 0.5)
+
+
+def test_cointegrated_pair_by_hand(spark):
+    rng = np.random.default_rng(3)
+    n, look = 60, 20
+    x = 50 + np.cumsum(rng.normal(0, 1, n))
+    y = 2 * x + 5 + rng.normal(0, 1, n)
+    px = panel(spark, {"A": y.tolist(), "B": x.tolist()})
+    want = {}
+    for t in range(look + 1, n):
+        a, b = y[t - look + 1 : t + 1], x[t - look + 1 : t + 1]
+        beta = np.polyfit(b, a, 1)[0]
+        s = a - beta * b
+        z = (s[-1] - s.mean()) / s.std()
+        if beta > 0 and abs(z) >= 1.0 and tm.adf_p(tm.adf_statistic(s - s.mean())) <= 0.5:
+            want[day(t)] = -np.sign(z) * y[t] / (y[t] + beta * x[t])
+    got = {r.date: r.weight for r in sg.CointegratedPair("A", "B", look, 1.0, max_p=0.5).weights(px).where("code = 'A'").collect()}
+    assert want and got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    k, filtered = tm.Kalman(), {}
+    for t in range(n):
+        _, beta, _, _, _, z = k.step(None, y[t], x[t])
+        if t > look and abs(z) >= 0.5 and beta > 0:
+            filtered[day(t)] = -np.sign(z) * y[t] / (y[t] + beta * x[t])
+    got = {r.date: r.weight for r in sg.CointegratedPair("A", "B", look, 0.5, max_p=None, method="kalman").weights(px).where("code = 'A'").collect()}
+    assert filtered and got.keys() == filtered.keys() and all(math.isclose(got[d], filtered[d], rel_tol=1e-9) for d in filtered)
+
+
+def test_johansen_basket_by_hand(spark):
+    rng = np.random.default_rng(4)
+    n, look = 50, 30
+    a = 100 + np.cumsum(rng.normal(0, 1, n))
+    prices = np.column_stack([a, a + 20 + rng.normal(0, 0.5, n), 60 + np.cumsum(rng.normal(0, 1, n))])
+    px = panel(spark, {c: prices[:, i].tolist() for i, c in enumerate("ABC")})
+    want = {}
+    for t in range(look + 1, n):
+        w = prices[t - look + 1 : t + 1]
+        j = tm.johansen(w)
+        s = w @ j["vectors"][:, 0]
+        z = (s[-1] - s.mean()) / s.std()
+        if sum(p > q for p, q in zip(j["trace"], j["critical"])) and abs(z) >= 0.5:
+            money = -np.sign(z) * j["vectors"][:, 0] * w[-1]
+            want[day(t)] = (money / np.abs(money).sum()).tolist()
+    rows = sg.JohansenBasket(list("ABC"), look, 0.5).weights(px).collect()
+    got = {d: [r.weight for r in sorted(rows, key=lambda r: r.code) if r.date == d] for d in {r.date for r in rows}}
+    assert want and got.keys() == want.keys() and all(np.allclose(got[d], want[d]) for d in want)
+
+
+def test_timing_goes_by_dates_not_by_rows_of_the_name(spark):
+    px = panel(spark, {"A": [1.0, 2.0, 3.0]})
+    signal = spark.createDataFrame([(day(1), 1.0)], "date timestamp, value double")
+    assert [r.date for r in sg.SignalTiming(signal, "Z").weights(px).orderBy("date").collect()] == [day(1), day(2)]
+    assert sg.CalendarTiming("Z").weights(px).count() == 3

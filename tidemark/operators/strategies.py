@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import clip, guarded, ratio, trailing
 from .joins import asof_backward
 from .panels import quantile_weights
+from .timeseries import kalman_hedge
 
 
 class Strategy(ABC):
@@ -53,7 +54,7 @@ class SignalTiming(Strategy):
         self.signal, self.code, self.threshold, self.side, self.name = signal, code, threshold, side, name
 
     def weights(self, panel: DataFrame) -> DataFrame:
-        days = panel.where(F.col("code") == self.code).select("date", "code")
+        days = panel.select("date").distinct().withColumn("code", F.lit(self.code))
         d = asof_backward(days, self.signal.withColumnRenamed("date", "_d"), "date", "_d", ["value"])
         return d.where(F.col("value") > self.threshold).select("date", "code", F.lit(float(self.side)).alias("weight"))
 
@@ -66,12 +67,12 @@ class CalendarTiming(Strategy):
 
     def weights(self, panel: DataFrame) -> DataFrame:
         dom = F.dayofmonth("date")
-        d = panel.where((F.col("code") == self.code) & ((dom >= self.dom_start) | (dom <= self.dom_end)))
-        return d.select("date", "code", F.lit(float(self.side)).alias("weight"))
+        d = panel.select("date").distinct().where((dom >= self.dom_start) | (dom <= self.dom_end))
+        return d.select("date", F.lit(self.code).alias("code"), F.lit(float(self.side)).alias("weight"))
 
 
 def pair_frame(panel: DataFrame, a, b) -> DataFrame:
-    """(date, pa, pb) of dates with both prices."""
+    """(date, pa, pb) of dates with both prices, both positive."""
     return panel.where(F.col("code").isin(a, b)).groupBy("date").agg(F.max(F.when(F.col("code") == a, F.col("close"))).alias("pa"), F.max(F.when(F.col("code") == b, F.col("close"))).alias("pb")).where("pa > 0 and pb > 0")
 
 
@@ -108,38 +109,49 @@ class EarningsRunup(Strategy):
 
 
 class CrossSectional(Strategy):
-    """Top against bottom quantile of a factor (date, code, value), or the top against the universe."""
+    """Top against bottom quantile of a factor (date, code, value); ``long_only``: the top against the whole universe, equally weighted."""
 
     def __init__(self, factor: DataFrame, quantile: float = 0.2, name: str = "cross_sectional", long_only: bool = False, min_names: int = 5):
         self.factor, self.quantile, self.name, self.long_only, self.min_names = factor, quantile, name, long_only, min_names
 
     def weights(self, panel: DataFrame) -> DataFrame:
-        return quantile_weights(self.factor, "value", self.quantile, self.min_names, self.long_only)
+        w = quantile_weights(self.factor, "value", self.quantile, self.min_names, self.long_only)
+        if not self.long_only:
+            return w
+        hedge = F.lit(-1.0) / F.count(F.lit(1)).over(Window.partitionBy("date"))
+        universe = self.factor.where("value is not null").select("date", "code", hedge.alias("_h"))
+        d = universe.join(w.select("date").distinct(), "date", "left_semi").join(w, ["date", "code"], "left")
+        return d.select("date", "code", (F.col("_h") + F.coalesce("weight", F.lit(0.0))).alias("weight")).where(F.abs("weight") > 1e-15)
 
 
 class LinearMeanReversion(Strategy):
-    """One name, against its z-score, bounded."""
+    """One name, against the z-score of its price, bounded; from ``lookback`` + 1 prices on, flat without variation."""
 
     def __init__(self, code, lookback: int = 60, scale: float = 2.0, cap: float = 1.0, name: str = "linear_mr"):
         self.code, self.lookback, self.scale, self.cap, self.name = code, lookback, scale, cap, name
 
     def weights(self, panel: DataFrame) -> DataFrame:
+        d = panel.where((F.col("code") == self.code) & F.col("close").isNotNull())
         w = trailing(_code(), self.lookback)
-        d = panel.where((F.col("code") == self.code) & (F.col("close") > 0)).withColumn("_x", F.log("close"))
-        sd = guarded(F.stddev_pop("_x"), "_x", w, self.lookback)
-        z = F.when(sd > 0, (F.col("_x") - F.avg("_x").over(w)) / sd)
-        return d.select("date", "code", clip(-z / self.scale, -self.cap, self.cap).alias("weight")).where("weight is not null")
+        sd = F.stddev_pop("close").over(w)
+        z = F.when((F.row_number().over(_code()) > self.lookback) & (sd > 0), (F.col("close") - F.avg("close").over(w)) / sd)
+        return d.select("date", "code", clip(-z / self.scale, -self.cap, self.cap).alias("weight")).where("weight <> 0")
 
 
 class CointegratedPair(Strategy):
-    """Residual of a rolling regression of a on b, behind a unit-root gate over the same window; gross 1.
+    """Price of ``a`` less the hedge ratio times that of ``b``, against its z-score from ``entry`` on; gross 1 in money.
 
-    The gate needs the window's rows together: a rolling array of ``lookback``
-    pairs per date, tested in a Pandas function.
+    Over the last ``lookback`` dates with both prices (two more must exist), a unit-root
+    test of the residuals must give at most ``max_p`` (None: no test), and with it the
+    half-life at most ``max_half_life``. The hedge ratio and the z-score are
+    those of the window (``rolling_ols``) or of a filter over all dates so far (``kalman``);
+    a ratio that isn't positive is flat.
     """
 
-    def __init__(self, a, b, lookback: int = 60, entry: float = 1.5, max_p: float | None = 0.05, max_half_life: float | None = None, name: str = "cointegrated"):
-        self.a, self.b, self.lookback, self.entry, self.max_p, self.max_half_life, self.name = a, b, lookback, entry, max_p, max_half_life, name
+    def __init__(self, a, b, lookback: int = 60, entry: float = 1.5, max_p: float | None = 0.05, max_half_life: float | None = None, method: str = "rolling_ols", name: str = "cointegrated"):
+        if method not in ("rolling_ols", "kalman"):
+            raise ValueError(f"unknown method {method!r}")
+        self.a, self.b, self.lookback, self.entry, self.max_p, self.max_half_life, self.method, self.name = a, b, lookback, entry, max_p, max_half_life, method, name
 
     def weights(self, panel: DataFrame) -> DataFrame:
         max_p, max_half = self.max_p, self.max_half_life
@@ -153,28 +165,39 @@ class CointegratedPair(Strategy):
             rows = []
             for y, x in zip(ys, xs):
                 y, x = np.asarray(y, float), np.asarray(x, float)
-                b = np.cov(x, y)[0, 1] / x.var(ddof=1) if x.var() > 0 else np.nan
+                b = np.cov(x, y, ddof=0)[0, 1] / x.var() if x.var() > 0 else np.nan
                 s = y - b * x
                 z = (s[-1] - s.mean()) / s.std() if s.std() > 0 else np.nan
-                ok = bool(b > 0) and z == z
-                if ok and max_p is not None:
-                    ok = adf_p(adf_statistic(s - s.mean()), 2) <= max_p
-                if ok and max_half is not None:
-                    slope = np.polyfit(s[:-1], np.diff(s), 1)[0]
-                    ok = -1 < slope < 0 and -np.log(2) / np.log(1 + slope) <= max_half
+                ok = True
+                if max_p is not None:
+                    ok = bool(adf_p(adf_statistic(s - s.mean())) <= max_p)
+                    if ok and max_half is not None:
+                        rho = max(1 + np.polyfit(s[:-1], np.diff(s), 1)[0], 1e-6)
+                        ok = bool(rho < 1 and -np.log(2) / np.log(rho) <= max_half)
                 rows.append((b, z, ok))
             return pd.DataFrame(rows, columns=["beta", "z", "ok"])
 
-        w = trailing(Window.partitionBy(F.lit(0)).orderBy("date"), self.lookback)
-        d = pair_frame(panel, self.a, self.b).select("date", F.collect_list(F.log("pa")).over(w).alias("_y"), F.collect_list(F.log("pb")).over(w).alias("_x"))
-        d = d.where(F.size("_y") == self.lookback).select("date", judge("_y", "_x").alias("j")).select("date", "j.*").where(F.col("ok") & (F.abs("z") >= self.entry))
-        gross = 1 + F.abs("beta")
-        legs = F.array(F.struct(F.lit(self.a).alias("code"), (-F.signum("z") / gross).alias("weight")), F.struct(F.lit(self.b).alias("code"), (F.signum("z") * F.col("beta") / gross).alias("weight")))
+        by = Window.partitionBy(F.lit(0)).orderBy("date")
+        w = trailing(by, self.lookback)
+        pairs = pair_frame(panel, self.a, self.b)
+        d = pairs.select("date", "pa", "pb", F.row_number().over(by).alias("_n"), F.collect_list("pa").over(w).alias("_y"), F.collect_list("pb").over(w).alias("_x"))
+        d = d.where(F.col("_n") >= self.lookback + 2).select("date", "pa", "pb", judge("_y", "_x").alias("j")).select("date", "pa", "pb", "j.*").where("ok")
+        if self.method == "kalman":
+            filtered = kalman_hedge(pairs.select(F.lit(0).alias("pair"), F.col("date").alias("ts"), F.col("pa").alias("y"), F.col("pb").alias("x")))
+            d = d.drop("beta", "z").join(filtered.select(F.col("ts").alias("date"), "beta", "z"), "date")
+        d = d.where((F.col("beta") > 0) & ~F.isnan("beta") & ~F.isnan("z") & (F.abs("z") >= self.entry))
+        side = F.when(F.col("z") > 0, -1.0).otherwise(1.0)
+        hedge = F.col("beta") * F.col("pb")
+        gross = F.col("pa") + hedge
+        legs = F.array(F.struct(F.lit(self.a).alias("code"), (side * F.col("pa") / gross).alias("weight")), F.struct(F.lit(self.b).alias("code"), (-side * hedge / gross).alias("weight")))
         return d.select("date", F.explode(legs).alias("leg")).select("date", "leg.code", "leg.weight")
 
 
 class JohansenBasket(Strategy):
-    """Against the spread of the strongest cointegrating vector, where the trace test rejects no cointegration; gross 1."""
+    """Against the z-score of the prices' strongest cointegrating combination, where the trace test finds a relation; gross 1 in money.
+
+    Over the last ``lookback`` dates with all prices; two more must exist.
+    """
 
     def __init__(self, codes: Sequence, lookback: int = 120, entry: float = 1.5, name: str = "johansen"):
         self.codes, self.lookback, self.entry, self.name = list(codes), lookback, entry, name
@@ -199,14 +222,16 @@ class JohansenBasket(Strategy):
                 v = j["vectors"][:, 0]
                 s = x @ v
                 z = (s[-1] - s.mean()) / s.std() if s.std() > 0 else 0.0
-                ok = j["trace"][0] > j["critical"][0] and abs(z) >= entry
-                out.append((-np.sign(z) * v / np.abs(v).sum()).tolist() if ok else None)
+                ok = any(t > c for t, c in zip(j["trace"], j["critical"])) and abs(z) >= entry
+                money = v * x[-1]
+                out.append(((-1.0 if z > 0 else 1.0) * money / np.abs(money).sum()).tolist() if ok and np.abs(money).sum() > 0 else None)
             return pd.Series(out)
 
-        p = panel.where(F.col("code").isin(codes) & (F.col("close") > 0)).groupBy("date").agg(*(F.log(F.max(F.when(F.col("code") == c, F.col("close")))).alias(f"p{i}") for i, c in enumerate(codes)))
+        p = panel.where(F.col("code").isin(codes) & (F.col("close") > 0)).groupBy("date").agg(*(F.max(F.when(F.col("code") == c, F.col("close"))).alias(f"p{i}") for i, c in enumerate(codes)))
         p = p.dropna()
-        w = trailing(Window.partitionBy(F.lit(0)).orderBy("date"), self.lookback)
-        d = p.select("date", F.collect_list(F.array(*(f"p{i}" for i in range(len(codes))))).over(w).alias("_w")).where(F.size("_w") == self.lookback)
+        by = Window.partitionBy(F.lit(0)).orderBy("date")
+        w = trailing(by, self.lookback)
+        d = p.select("date", F.row_number().over(by).alias("_n"), F.collect_list(F.array(*(f"p{i}" for i in range(len(codes))))).over(w).alias("_w")).where(F.col("_n") >= self.lookback + 2)
         d = d.select("date", judge("_w").alias("_v")).where("_v is not null")
         legs = F.array(*(F.struct(F.lit(c).alias("code"), F.col("_v")[i].alias("weight")) for i, c in enumerate(codes)))
         return d.select("date", F.explode(legs).alias("leg")).select("date", "leg.code", "leg.weight")

@@ -56,12 +56,9 @@ def variance_ratio(series: DataFrame, lags: tuple[int, ...] = (2, 4, 8, 16), key
     return g.select(key, F.explode(F.array(*(F.struct(F.lit(q).alias("lag"), F.try_divide(F.col(f"v{q}"), q * F.col("v")).alias("vr")) for q in lags))).alias("e")).select(key, "e.*")
 
 
-# Response surfaces of Dickey-Fuller p-values with a constant, for one series and for residuals of two
-# (MacKinnon 1994): break, lower and upper polynomials in the statistic, and where the p-value is 0 or 1.
-SURFACES = {
-    1: {"star": -1.61, "min": -18.83, "max": 2.74, "small": (2.1659, 1.4412, 0.038269), "large": (1.7339, 0.93202, -0.12745, -0.010368)},
-    2: {"star": -2.62, "min": -18.86, "max": 0.92, "small": (2.92, 1.5012, 0.039796), "large": (2.1945, 0.64695, -0.29198, -0.042377)},
-}
+# The response surface of Dickey-Fuller p-values with a constant (MacKinnon 1994): break, lower and
+# upper polynomial in the statistic, and where the p-value is 0 or 1.
+SURFACE = {"star": -1.61, "min": -18.83, "max": 2.74, "small": (2.1659, 1.4412, 0.038269), "large": (1.7339, 0.93202, -0.12745, -0.010368)}
 
 
 def adf_statistic(x: np.ndarray, max_lag: int | None = None) -> float:
@@ -88,10 +85,10 @@ def adf_statistic(x: np.ndarray, max_lag: int | None = None) -> float:
     return fit(best, best)[1]
 
 
-def adf_p(stat: float, n_series: int = 1) -> float:
+def adf_p(stat: float) -> float:
     from statistics import NormalDist
 
-    s = SURFACES[n_series]
+    s = SURFACE
     if stat != stat:
         return math.nan
     if stat > s["max"]:
@@ -166,7 +163,7 @@ def spread(pairs: DataFrame, beta: DataFrame, key: str = "pair") -> DataFrame:
 
 
 def cadf(pairs: DataFrame, key: str = "pair") -> DataFrame:
-    """(key, beta, stat, p): unit-root test of the residuals of y on x."""
+    """(key, beta, stat, p): unit-root test of the residuals of y on x; the p-value is that of one series, as if the residuals were observed."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("ts")
@@ -174,7 +171,7 @@ def cadf(pairs: DataFrame, key: str = "pair") -> DataFrame:
         ok = len(y) >= 12 and x.std() > 0
         b = float(np.cov(x, y)[0, 1] / x.var(ddof=1)) if ok else math.nan
         s = adf_statistic(y - b * x - (y - b * x).mean()) if ok else math.nan
-        return pd.DataFrame({key: [f[key].iloc[0]], "beta": [b], "stat": [s], "p": [adf_p(s, 2)]})
+        return pd.DataFrame({key: [f[key].iloc[0]], "beta": [b], "stat": [s], "p": [adf_p(s)]})
 
     kind = dict(pairs.dtypes)[key]
     return pairs.select(key, "ts", "y", "x").groupBy(key).applyInPandas(run, f"`{key}` {kind}, beta double, stat double, p double")

@@ -61,12 +61,12 @@ def strategy_composite(s, d):
     return rounded(sg.Composite([sg.GapReversal(0.1), sg.GapReversal(0.3, side=-1)], [0.75, 0.25]).weights(R.panel(s, d)))
 
 
-@query(f"WITH {R.PANEL}, x AS (SELECT date, code, ln(close) AS x FROM panel WHERE code = 1 AND close > 0), z AS (SELECT date, code, CASE WHEN count(x) OVER w >= 12 THEN (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) END AS z FROM x WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT date, code, round(greatest(-1.0, least(1.0, -z / 2)), 6) AS weight FROM z WHERE z IS NOT NULL")
+@query(f"WITH {R.PANEL}, z AS (SELECT date, code, CASE WHEN row_number() OVER (ORDER BY date) >= 13 THEN (close - avg(close) OVER w) / nullif(stddev_pop(close) OVER w, 0) END AS z FROM panel WHERE code = 1 WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT date, code, round(greatest(-1.0, least(1.0, -z / 2)), 6) AS weight FROM z WHERE z <> 0")
 def strategy_linear_mean_reversion(s, d):
     return rounded(sg.LinearMeanReversion(1, 12).weights(R.panel(s, d)))
 
 
-@query(f"WITH {R.PANEL}, {REGIME}, sig AS (SELECT date, CASE WHEN regime = 2 THEN NULL ELSE regime END AS value FROM reg) SELECT p.date, code, -1.0::DOUBLE AS weight FROM panel p ASOF JOIN sig ON p.date >= sig.date WHERE code = 3 AND value > 0.5")
+@query(f"WITH {R.PANEL}, {REGIME}, sig AS (SELECT date, CASE WHEN regime = 2 THEN NULL ELSE regime END AS value FROM reg) SELECT p.date, 3 AS code, -1.0::DOUBLE AS weight FROM (SELECT DISTINCT date FROM panel) p ASOF JOIN sig ON p.date >= sig.date WHERE value > 0.5")
 def strategy_signal_timing(s, d):
     signal = _regime(s, d).select("date", F.when(F.col("regime") != 2, F.col("regime")).alias("value"))
     return sg.SignalTiming(signal, 3, 0.5, side=-1).weights(R.panel(s, d))
@@ -79,11 +79,19 @@ def strategy_earnings_runup(s, d):
     return rounded(sg.EarningsRunup(days).weights(p))
 
 
-@query(f"WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, r AS (SELECT date, code, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY value DESC, code) AS up FROM z WHERE value IS NOT NULL) SELECT date, code, round(1 / greatest(1, floor(n * 0.1)), 6) AS weight FROM r WHERE n >= 5 AND up <= greatest(1, floor(n * 0.1))")
+@query(f"WITH {R.PANEL}, {MOM}, {R.SECTORS}, {NEUTRAL}, r AS (SELECT date, code, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY value DESC, code) AS up FROM z WHERE value IS NOT NULL) SELECT date, code, round(CASE WHEN up <= greatest(1, floor(n * 0.1)) THEN 1 / greatest(1, floor(n * 0.1)) ELSE 0 END - 1 / n, 6) AS weight FROM r WHERE n >= 5")
 def strategy_cross_sectional_long(s, d):
     return rounded(sg.CrossSectional(momentum_factor(s, d), 0.1, long_only=True).weights(R.panel(s, d)))
 
 
+@query(f"""WITH {R.PANEL}, p AS (SELECT date, max(close) FILTER (code = 1) AS y, max(close) FILTER (code = 2) AS x FROM panel WHERE code IN (1, 2) GROUP BY 1 HAVING count(DISTINCT code) = 2),
+b AS (SELECT *, row_number() OVER (ORDER BY date) AS n, covar_pop(y, x) OVER w / nullif(var_pop(x) OVER w, 0) AS b, avg(y) OVER w AS my, avg(x) OVER w AS mx, var_pop(y) OVER w AS vy, var_pop(x) OVER w AS vx, covar_pop(y, x) OVER w AS c FROM p WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, (y - b * x - my + b * mx) / sqrt(vy - 2 * b * c + b * b * vx) AS z FROM b WHERE n >= 14 AND b > 0)
+SELECT date, unnest([1, 2])::BIGINT AS code, round(unnest([-sign(z) * y, sign(z) * b * x]) / (y + b * x), 6) AS weight FROM z WHERE abs(z) >= 1""")
+def strategy_hedged_pair(s, d):
+    return rounded(sg.CointegratedPair(1, 2, 12, 1.0, max_p=None).weights(R.panel(s, d)).withColumn("code", F.col("code").cast("long")))
+
+
 @query(f"WITH {BOOK}, g AS (SELECT date, sum(abs(weight)) AS g FROM weights GROUP BY 1) SELECT date, code, round(weight / g, 6) AS weight FROM weights JOIN g USING (date)")
 def normalized_gross(s, d):
     return rounded(sg.normalize_gross(_weights(s, d).drop("strategy")))
