@@ -641,3 +641,32 @@ def test_timing_goes_by_dates_not_by_rows_of_the_name(spark):
     signal = spark.createDataFrame([(day(1), 1.0)], "date timestamp, value double")
     assert [r.date for r in sg.SignalTiming(signal, "Z").weights(px).orderBy("date").collect()] == [day(1), day(2)]
     assert sg.CalendarTiming("Z").weights(px).count() == 3
+
+
+def test_dividend_revision_over_a_split(spark):
+    f = spark.createDataFrame([("A", dt.date(2024, 1, 10), 40.0), ("A", dt.date(2024, 4, 10), 20.0), ("A", dt.date(2024, 7, 10), 25.0)], "Code string, DiscDate date, FDivAnn double")
+    cum = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), ("A", dt.date(2024, 3, 1), 0.5)], "Code string, date date, cum double")
+    assert column(fd.dividend_forecast_revision(f, cum), "revision", "DiscDate") == [0.0, 0.25]
+    assert column(fd.dividend_forecast_revision(f), "revision", "DiscDate") == [-0.5, 0.25]
+
+
+def test_guidance_counts_disclosures_without_a_surprise(spark):
+    ends = [dt.date(y, 3, 31) for y in range(2018, 2025)]
+    rows = [("A", dt.date(e.year, 5, 10), "FY", 120.0, 100.0, e, ends[i + 1] if i != 3 else ends[i]) for i, e in enumerate(ends[:-1])]
+    d = fd.guidance_conservatism(spark.createDataFrame(rows, "Code string, DiscDate date, CurPerType string, EPS double, NxFEPS double, CurFYEn date, NxtFYEn date"))
+    assert [r.DiscDate.year for r in d.orderBy("DiscDate").collect()] == [2020, 2021, 2022, 2023]  # 2022 has none of its own, two before it
+
+
+def test_variance_ratio_of_differences(spark):
+    x = [1.0, 3.0, 2.0, 5.0, 4.0, 7.0]
+    rows = [("X", day(i), v) for i, v in enumerate(x)]
+    got = {r.lag: r.vr for r in tm.variance_ratio(spark.createDataFrame(rows, "symbol string, ts timestamp, close double"), (2, 4)).collect()}
+    a = np.array(x)
+    assert math.isclose(got[2], np.var(a[2:] - a[:-2], ddof=1) / (2 * np.var(np.diff(a), ddof=1))) and got[4] is None
+
+
+def test_band_without_holdings_and_hedge_without_shorts(spark):
+    w = spark.createDataFrame([("A", 0.001), ("B", 0.2)], "code string, weight double")
+    assert production.banded_weights(w, w.limit(0), 0.01).count() == 2
+    h = spark.createDataFrame([(-5e5, 1e3), (5e5, 0.0), (5e5, 1e4)], "s double, p double").select(production.hedge_contracts(F.col("s"), F.col("p")).alias("n"))
+    assert [r.n for r in h.collect()] == [0, 0, 5]

@@ -60,7 +60,8 @@ def earnings_surprise(fund: DataFrame, actual: str = "EPS", forecast: str = "FEP
 def dividend_forecast_revision(fund: DataFrame, cumulative: DataFrame | None = None, field: str = "FDivAnn") -> DataFrame:
     """As ``forecast_revision``, the previous forecast rescaled by the split factors between the two dates.
 
-    ``cumulative``: (Code, date, cum), the cumulative factor; 1 where unknown or zero.
+    ``cumulative``: (Code, date, cum), the cumulative factor, 1 before its first date: a split in two
+    takes it from 1 to 0.5, and half the dividend is then no revision.
     """
     d = _ordered(fund, field)
     if cumulative is None:
@@ -68,7 +69,7 @@ def dividend_forecast_revision(fund: DataFrame, cumulative: DataFrame | None = N
     else:
         d = asof_backward(d, cumulative.withColumnRenamed("cum", "_cum"), "DiscDate", "date", ["_cum"], by=["Code"]).withColumn("_cum", F.coalesce("_cum", F.lit(1.0)))
     step = F.lag("_cum").over(by_disclosure())
-    scale = F.when((step != 0) & (F.col("_cum") != 0), step / F.col("_cum")).otherwise(1.0)
+    scale = F.when(step != 0, F.col("_cum") / step).otherwise(1.0)
     prev = F.lag(field).over(by_disclosure()) * scale
     return d.select("Code", "DiscDate", ratio(F.col(field) - prev, F.abs(prev)).alias("revision")).where("revision is not null")
 
@@ -80,12 +81,18 @@ def buyback_intensity(fund: DataFrame) -> DataFrame:
 
 
 def guidance_conservatism(fund: DataFrame, n_years: int = 3, min_years: int = 2) -> DataFrame:
-    """Mean surprise of full years against the guidance of the year before, over the last ``n_years``."""
-    fy = fund.where(F.col("CurPerType") == "FY")
-    fy = keep_last(fy, ["Code", "CurFYEn"], ["DiscDate"])
+    """Mean surprise of full years against the guidance of the disclosure before, over the last ``n_years`` full-year disclosures.
+
+    Guidance counts if it was for this year (where both year ends are columns). A
+    disclosure without a surprise still takes one of the ``n_years`` places.
+    """
+    fy = fund.where((F.col("CurPerType") == "FY") & F.col("DiscDate").isNotNull())
+    fy = keep_last(fy, ["Code", "DiscDate"], ["DiscNo"] if "DiscNo" in fund.columns else ["CurFYEn"] if "CurFYEn" in fund.columns else ["EPS"])
     w = Window.partitionBy("Code").orderBy("DiscDate")
-    prior = F.when(F.lag("NxtFYEn").over(w) == F.col("CurFYEn"), F.lag("NxFEPS").over(w))
-    d = fy.select("Code", "DiscDate", ratio(F.col("EPS") - prior, F.abs(prior)).alias("_s")).where("_s is not null")
+    prior = F.lag("NxFEPS").over(w)
+    if {"NxtFYEn", "CurFYEn"} <= set(fund.columns):
+        prior = F.when(F.lag("NxtFYEn").over(w) == F.col("CurFYEn"), prior)
+    d = fy.select("Code", "DiscDate", ratio(F.col("EPS") - prior, F.abs(prior)).alias("_s"))
     last = w.rowsBetween(-(n_years - 1), Window.currentRow)
     return d.select("Code", "DiscDate", F.when(F.count("_s").over(last) >= min_years, F.avg("_s").over(last)).alias("conservatism")).where("conservatism is not null")
 

@@ -10,9 +10,11 @@ from .joins import full_weights
 
 
 def banded_weights(target: DataFrame, held: DataFrame, band: float) -> DataFrame:
-    """(code, weight): the held weight where the change is smaller than the band; zeros are dropped."""
-    d = full_weights(target, held)
-    w = F.when(F.abs(F.col("target") - F.col("held")) >= band, F.col("target")).otherwise(F.col("held"))
+    """(code, weight): the held weight where the change is smaller than the band; zeros are dropped. With nothing held, the targets."""
+    any_held = held.agg((F.count(F.lit(1)) > 0).alias("_any"))
+    d = full_weights(target, held).join(F.broadcast(any_held))  # one row
+    keep = F.col("_any") & (F.abs(F.col("target") - F.col("held")) < band)
+    w = F.when(keep, F.col("held")).otherwise(F.col("target"))
     return d.select("code", w.alias("weight")).where("weight <> 0")
 
 
@@ -29,8 +31,9 @@ def short_notional(weights: DataFrame, capital: float) -> DataFrame:
 
 
 def hedge_contracts(notional: Column, index_price: Column, multiplier: float = 10.0) -> Column:
-    """Rounded half to even."""
-    return F.bround(F.try_divide(notional, index_price * multiplier), 0).cast("long")
+    """Rounded half to even; none without a positive notional and price."""
+    n = F.bround(F.try_divide(notional, index_price * multiplier), 0).cast("long")
+    return F.when((notional > 0) & (index_price > 0), n).otherwise(F.lit(0).cast("long"))
 
 
 def lot_orders(weights: DataFrame, prices: DataFrame, capital: float, lot_units: dict[str, float], lot_steps: dict[str, float] | None = None) -> DataFrame:

@@ -221,8 +221,9 @@ def trend_regime(level: DataFrame, window: int = 60, min_periods: int = 252) ->
 
 
 def vol_regime(level: DataFrame, window: int = 60, min_periods: int = 252) -> DataFrame:
+    """(date, regime): tertile so far of the market's volatility over ``window`` returns, at least half of them (and five) known."""
     w = Window.partitionBy(F.lit(0)).orderBy("date")
-    v = level.select("date", guarded(F.stddev_samp("ret"), "ret", trailing(w, window), window).alias("vol"))
+    v = level.select("date", guarded(F.stddev_samp("ret"), "ret", trailing(w, window), max(5, window // 2)).alias("vol"))
     return expanding_tertile(v, "vol", min_periods)
 
 

@@ -26,7 +26,7 @@ def half_life(series: DataFrame, key: str = "symbol", value: str = "close") -> D
     """(key, half_life): -ln 2 / ln(1 + b) of the change on the level; infinite without reversion."""
     g = _lagged(series, key, value).groupBy(key).agg(F.regr_slope("_d", "_l").alias("_b"))
     rho = F.greatest(F.lit(1e-6), 1 + F.col("_b"))
-    return g.select(key, F.when(F.col("_b").isNull(), None).when(rho >= 1, F.lit(math.inf)).otherwise(-math.log(2) / F.log(rho)).alias("half_life"))
+    return g.select(key, F.when(F.col("_b").isNull() | (rho >= 1), F.lit(math.inf)).otherwise(-math.log(2) / F.log(rho)).alias("half_life"))
 
 
 def ou_params(series: DataFrame, key: str = "symbol", value: str = "close") -> DataFrame:
@@ -37,23 +37,27 @@ def ou_params(series: DataFrame, key: str = "symbol", value: str = "close") -> D
 
 
 def hurst_exponent(series: DataFrame, max_lag: int = 100, key: str = "symbol", value: str = "close") -> DataFrame:
-    """(key, hurst): slope of ln deviation of lagged differences on ln lag, lags 2 to min(max_lag, n / 2) - 1."""
+    """(key, hurst): slope of ln deviation of lagged differences on ln lag, lags 2 to min(max_lag, n / 2) - 1; NULL under 20 values."""
     w = Window.partitionBy(key).orderBy("ts")
     lags = range(2, max_lag)
     d = series.where(F.col(value).isNotNull()).select(key, *((F.col(value) - F.lag(value, k).over(w)).alias(f"d{k}") for k in lags))
     g = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.stddev_pop(f"d{k}").alias(f"s{k}") for k in lags))
     long = g.select(key, "n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("s")) for k in lags))).alias("e")).select(key, "n", "e.*")
-    long = long.where((F.col("k") < F.least(F.lit(max_lag), F.floor(F.col("n") / 2))) & (F.col("s") > 0))
-    return long.groupBy(key).agg(F.regr_slope(F.log("s"), F.log("k")).alias("hurst"))
+    ok = (F.col("k") < F.least(F.lit(max_lag), F.floor(F.col("n") / 2))) & (F.col("s") > 0) & (F.col("n") >= 20)
+    return long.groupBy(key).agg(F.regr_slope(F.when(ok, F.log("s")), F.when(ok, F.log("k"))).alias("hurst"))
 
 
 def variance_ratio(series: DataFrame, lags: tuple[int, ...] = (2, 4, 8, 16), key: str = "symbol", value: str = "close") -> DataFrame:
-    """(key, lag, vr): variance of q-step log changes over q times that of one step."""
+    """(key, lag, vr): variance of q-step changes over q times that of one step; NULL under 2 q changes or without variation.
+
+    Changes are differences of the values as they are; give logarithms for log changes.
+    """
     w = Window.partitionBy(key).orderBy("ts")
-    d = series.where(F.col(value) > 0).withColumn("_x", F.log(value))
-    d = d.select(key, (F.col("_x") - F.lag("_x").over(w)).alias("r1"), *((F.col("_x") - F.lag("_x", q).over(w)).alias(f"r{q}") for q in lags if q != 1))
-    g = d.groupBy(key).agg(F.var_samp("r1").alias("v"), *(F.var_samp(f"r{q}").alias(f"v{q}") for q in lags))
-    return g.select(key, F.explode(F.array(*(F.struct(F.lit(q).alias("lag"), F.try_divide(F.col(f"v{q}"), q * F.col("v")).alias("vr")) for q in lags))).alias("e")).select(key, "e.*")
+    x = F.col(value)
+    d = series.where(x.isNotNull()).select(key, (x - F.lag(x).over(w)).alias("r1"), *((x - F.lag(x, q).over(w)).alias(f"r{q}") for q in lags))
+    g = d.groupBy(key).agg(F.count("r1").alias("n"), F.var_samp("r1").alias("v"), *(F.var_samp(f"r{q}").alias(f"v{q}") for q in lags))
+    ratios = (F.struct(F.lit(q).alias("lag"), F.when(F.col("n") >= 2 * q, F.try_divide(F.col(f"v{q}"), q * F.col("v"))).alias("vr")) for q in lags)
+    return g.select(key, F.explode(F.array(*ratios)).alias("e")).select(key, "e.*")
 
 
 # The response surface of Dickey-Fuller p-values with a constant (MacKinnon 1994): break, lower and

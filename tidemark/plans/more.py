@@ -100,7 +100,7 @@ def normalized_gross(s, d):
 # Regimes and track records
 
 
-@query(f"WITH {R.DAILY}, v AS (SELECT date, CASE WHEN count(ret) OVER w >= 10 THEN stddev_samp(ret) OVER w END AS v FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), r AS (SELECT a.date, a.v, count(b.v) AS n, (sum((b.v < a.v)::INT) + (sum((b.v = a.v)::INT) + 1) / 2.0) / count(b.v) AS p FROM v a JOIN v b ON b.date <= a.date GROUP BY a.date, a.v) SELECT date, CASE WHEN n >= 24 AND v IS NOT NULL THEN CASE WHEN p <= 1 / 3 THEN 0.0 WHEN p <= 2 / 3 THEN 1.0 ELSE 2.0 END END::DOUBLE AS regime FROM r")
+@query(f"WITH {R.DAILY}, v AS (SELECT date, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w END AS v FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), r AS (SELECT a.date, a.v, count(b.v) AS n, (sum((b.v < a.v)::INT) + (sum((b.v = a.v)::INT) + 1) / 2.0) / count(b.v) AS p FROM v a JOIN v b ON b.date <= a.date GROUP BY a.date, a.v) SELECT date, CASE WHEN n >= 24 AND v IS NOT NULL THEN CASE WHEN p <= 1 / 3 THEN 0.0 WHEN p <= 2 / 3 THEN 1.0 ELSE 2.0 END END::DOUBLE AS regime FROM r")
 def volatility_regime(s, d):
     return st.vol_regime(R.daily(s, d), 10, 24)
 
@@ -185,7 +185,7 @@ def volatility_targets(s, d):
 # Disclosures and market facts
 
 
-@query(f"WITH {R.FUND}, o AS (SELECT * FROM fund WHERE FEPS IS NOT NULL QUALIFY row_number() OVER (PARTITION BY Code, DiscDate ORDER BY DiscNo DESC) = 1), p AS (SELECT Code, DiscDate, FEPS, lag(FEPS) OVER w * (CASE WHEN year(lag(DiscDate) OVER w) < 1995 AND year(DiscDate) >= 1995 THEN 2.0 ELSE 1 END) AS prev FROM o WINDOW w AS (PARTITION BY Code ORDER BY DiscDate)) SELECT Code, DiscDate, round((FEPS - prev) / nullif(abs(prev), 0), 6) AS revision FROM p WHERE prev <> 0")
+@query(f"WITH {R.FUND}, o AS (SELECT * FROM fund WHERE FEPS IS NOT NULL QUALIFY row_number() OVER (PARTITION BY Code, DiscDate ORDER BY DiscNo DESC) = 1), p AS (SELECT Code, DiscDate, FEPS, lag(FEPS) OVER w * (CASE WHEN year(lag(DiscDate) OVER w) < 1995 AND year(DiscDate) >= 1995 THEN 0.5 ELSE 1 END) AS prev FROM o WINDOW w AS (PARTITION BY Code ORDER BY DiscDate)) SELECT Code, DiscDate, round((FEPS - prev) / nullif(abs(prev), 0), 6) AS revision FROM p WHERE prev <> 0")
 def dividend_forecast_revision(s, d):
     f = R.fund(s, d)
     dates = s.createDataFrame([("1992-01-01", 1.0), ("1995-01-01", 0.5)], "d string, cum double").select(F.to_date("d").alias("date"), "cum")

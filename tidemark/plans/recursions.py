@@ -38,8 +38,8 @@ x AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY
 SELECT a.symbol, a.ts, round(sum(w.w * b.close), 6) AS frac_diff FROM x a JOIN w ON a.n >= (SELECT count(*) FROM w) JOIN x b ON b.symbol = a.symbol AND b.n = a.n - w.k GROUP BY 1, 2"""
 
 HURST = f"""WITH {R.BARS}, x AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, count(*) OVER (PARTITION BY symbol) AS total FROM bars WHERE close IS NOT NULL),
-s AS (SELECT a.symbol, k, stddev_pop(a.close - b.close) AS s FROM x a CROSS JOIN (SELECT unnest(range(2, 40)) AS k) JOIN x b ON b.symbol = a.symbol AND b.n = a.n - k WHERE k < least(40, floor(a.total / 2)) GROUP BY 1, 2)
-SELECT symbol, round(regr_slope(ln(s), ln(k)), 5) AS hurst FROM s WHERE s > 0 GROUP BY 1"""
+s AS (SELECT a.symbol, k, any_value(a.total) AS total, stddev_pop(a.close - b.close) AS s FROM x a CROSS JOIN (SELECT unnest(range(2, 40)) AS k) JOIN x b ON b.symbol = a.symbol AND b.n = a.n - k WHERE k < least(40, floor(a.total / 2)) GROUP BY 1, 2)
+SELECT symbol, round(regr_slope(ln(s), ln(k)) FILTER (total >= 20), 5) AS hurst FROM s WHERE s > 0 GROUP BY 1"""
 
 IMBALANCE_BARS = f"""WITH RECURSIVE {R.TRADES}, st AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq) AS step FROM trades),
 t AS (SELECT symbol, ts, seq, price, volume, row_number() OVER w AS n, price * volume * coalesce(CASE side WHEN 'buy' THEN 1.0 WHEN 'sell' THEN -1.0 END, last_value(CASE WHEN step <> 0 THEN sign(step) END IGNORE NULLS) OVER w, 1.0) AS inc FROM st WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),

@@ -517,7 +517,7 @@ def ou_params(s, d):
     return o.select("symbol", F.round("theta", 5).alias("theta"), F.round("mu", 4).alias("mu"), F.round("sigma", 5).alias("sigma"))
 
 
-@query(f"WITH {R.BARS}, x AS (SELECT symbol, ts, ln(close) AS x FROM bars), r AS (SELECT symbol, x - lag(x, 1) OVER w AS r1, x - lag(x, 2) OVER w AS r2, x - lag(x, 4) OVER w AS r4 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, unnest([2, 4])::INT AS lag, round(unnest([var_samp(r2) / (2 * var_samp(r1)), var_samp(r4) / (4 * var_samp(r1))]), 6) AS vr FROM r GROUP BY symbol")
+@query(f"WITH {R.BARS}, x AS (SELECT symbol, ts, close AS x FROM bars), r AS (SELECT symbol, x - lag(x, 1) OVER w AS r1, x - lag(x, 2) OVER w AS r2, x - lag(x, 4) OVER w AS r4 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, unnest([2, 4])::INT AS lag, round(unnest([var_samp(r2) / (2 * var_samp(r1)), var_samp(r4) / (4 * var_samp(r1))]), 6) AS vr FROM r GROUP BY symbol")
 def variance_ratio(s, d):
     return rounded(tm.variance_ratio(R.bars(s, d), (2, 4)))
 
