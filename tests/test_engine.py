@@ -69,6 +69,13 @@ def test_tick_rule_and_imbalance(spark):
         B.dollar_imbalance_bars(t, 10, "other")
 
 
+def test_order_flow_per_bar(spark):
+    """Ticks of one time belong to the first bar that closes then, unless the bars name their last ticks; 0 without ticks."""
+    t = ticks(spark, [100] * 5, volumes=[1.0, 2, 3, 4, 5], sides=["buy", "sell", "buy", "buy", "sell"]).withColumn("ts", F.lit(T0) + F.expr("make_dt_interval(0, 0, 0, seq div 4)"))
+    assert [r["flow"] for r in B.order_flow_per_bar(t, B.tick_bars(t, 2, close_seq=True)).orderBy("bar_id").collect()] == pytest.approx([-1 / 3, 1])
+    assert [r["flow"] for r in B.order_flow_per_bar(t, B.tick_bars(t, 2)).orderBy("bar_id").collect()] == pytest.approx([0.6, 0])
+
+
 def test_returns_and_momentum(spark):
     p = panel(spark, {"A": [100, 110, 121]})
     assert column(panels.forward_returns(p), "fwd_ret") == pytest.approx([0.1, 0.1, None])

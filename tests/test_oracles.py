@@ -35,3 +35,13 @@ def test_query(spark, con, name):
     if name in registry.ORACLE_SQL:
         want = con.execute(registry.ORACLE_SQL[name]).df()
         pd.testing.assert_frame_equal(normal(got), normal(want), check_dtype=False, rtol=0, atol=2e-6)
+
+
+def test_order_flow_of_ticks_at_one_time(spark, con, tmp_path):
+    """Copies of the events at the same times, as larger tables have them: a bar may close between ticks of one time."""
+    copies = f"SELECT * REPLACE (event_id + 1000000 * i AS event_id) FROM '{D}/events.parquet', range(3) r(i)"
+    con.execute(f"COPY (SELECT * EXCLUDE (i) FROM ({copies})) TO '{tmp_path}/events.parquet'")
+    got = registry.QUERIES["order_flow_per_bar"](spark, str(tmp_path))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()  # quadratic in the ticks of a symbol
+    want = duckdb.connect().execute(registry.ORACLE_SQL["order_flow_per_bar"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).df()
+    pd.testing.assert_frame_equal(normal(got.toPandas()), normal(want), check_dtype=False, rtol=0, atol=2e-6)

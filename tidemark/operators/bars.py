@@ -102,8 +102,8 @@ def dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
     return _fold(trades, F.col("price") * F.col("volume"), threshold)
 
 
-def tick_bars(trades: DataFrame, threshold: float) -> DataFrame:
-    """Bars of ``ceil(threshold)`` ticks: the only kind with a closed form, so no recursion; an unfinished bar is dropped."""
+def tick_bars(trades: DataFrame, threshold: float, close_seq: bool = False) -> DataFrame:
+    """Bars of ``ceil(threshold)`` ticks: the only kind with a closed form, so no recursion; an unfinished bar is dropped. ``close_seq`` adds the last tick's ``seq``."""
     _check(threshold)
     k = math.ceil(threshold)
     t = trades.withColumn("bar_id", F.floor((F.row_number().over(by_tick()) - 1) / k))
@@ -118,9 +118,10 @@ def tick_bars(trades: DataFrame, threshold: float) -> DataFrame:
         F.count(F.lit(1)).alias("n_ticks"),
         F.min("ts").alias("start_time"),
         F.max("ts").alias("close_time"),
+        *[F.max_by("seq", at).alias("close_seq")] * close_seq,
     )
     g = g.where(F.col("n_ticks") == k).withColumn("vwap", F.try_divide("dollar", "volume"))
-    return g.select("symbol", *(c.strip().split()[0] for c in BAR.split(",")))
+    return g.select("symbol", *(c.strip().split()[0] for c in BAR.split(",")), *["close_seq"] * close_seq)
 
 
 def with_tick_rule(trades: DataFrame, init: int = 1, out: str = "sign") -> DataFrame:
@@ -145,12 +146,17 @@ def dollar_imbalance_bars(trades: DataFrame, threshold: float, sign_method: str
 
 
 def order_flow_per_bar(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """(symbol, bar_id, flow): signed over total volume of the ticks in (last close, close]; 0 for an empty bar."""
-    d = with_signed_flow(trades)
-    closes = bars.select("symbol", F.col("close_time").alias("ts"), "bar_id")
-    both = d.select("symbol", "ts", "sign", "volume", F.lit(None).cast("long").alias("bar_id"), F.lit(0).alias("_k")).unionByName(closes.withColumns({"sign": F.lit(None).cast("double"), "volume": F.lit(None).cast("double"), "_k": F.lit(1)}))
-    ahead = Window.partitionBy("symbol").orderBy("ts", "_k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = both.withColumn("bar_id", F.first("bar_id", ignorenulls=True).over(ahead)).where("bar_id is not null")
+    """(symbol, bar_id, flow): signed over total volume of the ticks in (last close, close]; 0 for an empty bar.
+
+    A bar closes behind all ticks of its ``close_time``, or, where it has ``close_seq``, behind that one of them.
+    """
+    d = with_signed_flow(trades).select("symbol", "ts", "seq", "sign", "volume", F.lit(0).alias("_end"), F.lit(0).alias("_k"))
+    known = "close_seq" in bars.columns
+    closes = bars.select("symbol", F.col("close_time").alias("ts"), *[F.col("close_seq").alias("seq")] * known, "bar_id", F.lit(0 if known else 1).alias("_end"), F.lit(1).alias("_k"))
+    both = d.unionByName(closes, allowMissingColumns=True)
+    # from the end, so that the frame grows: one up to unboundedFollowing is added up anew for every row
+    back = Window.partitionBy("symbol").orderBy(*(F.desc(c) for c in ("ts", "_end", "seq", "_k", "bar_id")))
+    placed = both.withColumn("bar_id", F.last("bar_id", ignorenulls=True).over(so_far(back))).where("bar_id is not null")
     flow = F.try_divide(F.sum(F.col("sign") * F.col("volume")), F.sum("volume"))
     return placed.groupBy("symbol", "bar_id").agg(F.coalesce(flow, F.lit(0.0)).alias("flow"))
 

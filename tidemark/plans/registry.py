@@ -320,7 +320,7 @@ def tick_rule(s, d):
 @query(f"WITH {R.TRADES}, t AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1) // 40 AS bar_id, price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq) AS step FROM trades), u AS (SELECT *, CASE side WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 ELSE coalesce(last_value(CASE WHEN step <> 0 THEN sign(step) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq), 1) END AS s FROM t) SELECT symbol, bar_id, round(sum(s * volume) / sum(volume), 6) AS flow FROM u GROUP BY 1, 2 HAVING count(*) = 40")
 def order_flow_per_bar(s, d):
     t = R.trades(s, d)
-    return rounded(B.order_flow_per_bar(t, B.tick_bars(t, 40)))
+    return rounded(B.order_flow_per_bar(t, B.tick_bars(t, 40, close_seq=True)))
 
 
 @query(f"WITH {R.TRADES}, t AS (SELECT *, sum(volume) OVER w AS c, price - lag(price) OVER w AS step FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)), u AS (SELECT symbol, floor((c - volume) / 500)::BIGINT AS bucket, volume, CASE side WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 ELSE coalesce(last_value(CASE WHEN step <> 0 THEN sign(step) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq), 1) END AS s FROM t), g AS (SELECT symbol, bucket, sum(s * volume) AS i, sum(volume) AS v FROM u GROUP BY 1, 2) SELECT symbol, bucket, round(CASE WHEN count(*) OVER w = 5 THEN sum(abs(i)) OVER w / sum(v) OVER w END, 6) AS vpin FROM g WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
