@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from other_pages import OtherPages
@@ -419,6 +420,29 @@ def test_secrets_beside_known_shapes():
 # 5 packing
 
 
+def test_packing_encodes_many_rows_together(rows):
+    """Segments of several batches are encoded once, in few calls; ids are those of whole texts wherever texts begin and end."""
+    enc = packing.SegmentEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["zz", "", None, " ", "a", "a ", "  a", "\n\nb\n\n", "it's 'll", "中文。\u3000x", "a\x0bb", "<|endoftext|> <|endof", "a", " " * 1_500_000 + "word", *(r["text"] for r in rows[:200])]
+    whole = [enc.whole(t or "") for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert enc.encode(pa.array(["y", *texts, "y"], kind).slice(1, len(texts))) == whole
+    batches = [pa.record_batch({"doc_id": pa.array([i]), "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    ((ids, column),) = packing.chunks(iter(batches))
+    assert ids == list(range(len(texts))) and enc.encode(column) == whole
+    assert [len(i) for i, _ in packing.chunks(iter([batches[0]] * (packing.CHUNK_ROWS + 1)))] == [packing.CHUNK_ROWS, 1]
+    many, seen, fast = texts[14:] * 20, [], enc.fast
+
+    class Counting:
+        def encode_ordinary(self, text):
+            seen.append(len(text))
+            return fast.encode_ordinary(text)
+
+    enc.fast = Counting()
+    enc.encode(pa.array(many))
+    assert len(seen) == 1 and seen[0] < sum(len(t or "") for t in texts[14:])
+
+
 def test_packing(spark, sample, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc = packing.encoder(path)

@@ -29,16 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, table, utf8
+from .common import Scratch, arrow_map, table
 
 WINDOW, END_ID = 1024, 0
 #: Salts of a length: tails of one length are ranked in so many groups.
 SALTS = 256
-#: Segments whose ids a worker remembers at most.
-MEMO = 300_000
+#: Rows are encoded together until they hold so many bytes or are so many: fewer distinct segments in all.
+CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 8192
+#: Bytes of a segment that the library encodes.
+LONG = 4096
 #: White space of Python's that some pattern engines don't take for white space, or the reverse.
 ODD_SPACE = re.compile(r"[^\S \n\t\r]")
-SEGMENTS = re.compile(r"\s*\S+|\s+")
+#: Kinds of bytes: 1 white space, 2 those that odd white space begins with.
+KIND = np.zeros(256, np.uint8)
+KIND[[chr(c).encode()[0] for c in range(0x3100) if ODD_SPACE.match(chr(c))]] = 2
+KIND[list(b" \n\t\r")] = 1
 
 
 class SegmentEncoder:
@@ -46,49 +51,92 @@ class SegmentEncoder:
 
     The pattern of this kind of model never puts white space after another
     character into one token, so that the ids of a text are those of its
-    segments (white space and what follows it) one after another. A worker
-    encodes each distinct segment once. Texts with special strings or unusual
-    white space are encoded whole by the library.
+    segments (white space and what follows it) one after another. Texts are
+    encoded many at a time and each distinct segment once; finding the distinct
+    ones and putting their ids in a row is left to Arrow. Texts with special
+    strings or unusual white space are encoded whole by the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.fast = _same_ranks(self.tok)
         self.lengths = np.array([len(self.fast.decode_single_token_bytes(i)) for i in range(self.fast.max_token_value + 1)])
-        self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def segments(self, text: str) -> list[str] | None:
-        if ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return None
-        return SEGMENTS.findall(text)
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes segments in one go: behind a letter, each starts a token of its own if it starts with white space."""
-        spaced = [s for s in new if s[0].isspace() and not s[-1].isspace()]
-        for s in new:
-            if not s[0].isspace() or s[-1].isspace():
-                self.memo[s] = self.whole(s)
-        if spaced:
-            ids = np.array(self.fast.encode_ordinary("".join(spaced)), np.uint32)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) for s in spaced])) + 1
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for s, end in zip(spaced, ends.tolist()):
-                self.memo[s], at = raw[4 * at : 4 * end], end
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [self.segments(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        if new := list({s for segs in split if segs for s in segs if s not in memo}):
-            self.learn(new)
-        return [self.whole(t) if segs is None else b"".join(map(memo.__getitem__, segs)) for t, segs in zip(texts, split)]
+        return self.encode(pa.array(texts, pa.string()))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; null as empty. Arrow finds the distinct segments and puts their ids in a row."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets, data = _parts(texts)
+        kinds = KIND[data]
+        odd = {int(i) for i in np.searchsorted(offsets, np.flatnonzero(kinds == 2), side="right") - 1}
+        raws = {i: texts[i].as_py() for i in odd}
+        odd = {i for i, raw in raws.items() if ODD_SPACE.search(raw.decode())}
+        whole = data.tobytes()
+        for special in self.special:
+            at = whole.find(special)
+            while at >= 0:
+                odd.add(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = whole.find(special, at + 1)
+        if odd:
+            apart = np.zeros(len(texts), bool)
+            apart[list(odd)] = True
+            plain = iter(self._plain(*_parts(texts.filter(pa.array(~apart)))))
+            return [self.whole(texts[i].as_py().decode()) if one else next(plain) for i, one in enumerate(apart.tolist())]
+        return self._plain(offsets, data, kinds)
+
+    def _plain(self, offsets: np.ndarray, data: np.ndarray, kinds: np.ndarray | None = None) -> list[bytes]:
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        white = (KIND[data] if kinds is None else kinds) == 1
+        first = np.empty(len(data), bool)  # a segment begins with a text or a run of white space
+        first[1:] = white[1:] & ~white[:-1]
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(first)
+        ends = pa.py_buffer(np.append(starts, len(data)))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(data)]).dictionary_encode()
+        at, raw = _parts(self.segments(coded.dictionary).take(coded.indices))
+        cuts, raw = at[np.searchsorted(starts, offsets)].tolist(), memoryview(raw)
+        return [bytes(raw[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+    def segments(self, distinct: pa.Array) -> pa.Array:
+        """Ids of segments, encoded in one go: behind another character, each starts a token of its own if it starts with white space.
+
+        A line feed is put before those that don't, and its token taken away.
+        Those that end in white space go to the library, and long ones, as
+        tiktoken's pattern engine stops the worker at a million spaces.
+        """
+        at, data = _parts(distinct)
+        if (apart := (KIND[data[at[1:] - 1]] == 1) | (np.diff(at) > LONG)).any():
+            plain, rest = self.segments(distinct.filter(pa.array(~apart))), distinct.filter(pa.array(apart))
+            place = np.empty(len(apart), np.int64)
+            place[~apart], place[apart] = np.arange(len(plain)), np.arange(len(plain), len(apart))
+            return pa.concat_arrays([plain, pa.array([self.whole(s.decode()) for s in rest.to_pylist()], pa.large_binary())]).take(pa.array(place))
+        bare = KIND[data[at[:-1]]] != 1
+        spaced = np.insert(data, at[:-1][bare], ord("\n"))
+        ids = np.array(self.fast.encode_ordinary(spaced.tobytes().decode()), "<u4")
+        token_ends = np.cumsum(self.lengths[ids])
+        ends = np.searchsorted(token_ends, at[1:] + np.cumsum(bare)) + 1  # tokens up to the end of each segment
+        feeds = (np.append(0, ends[:-1]) if len(ends) else ends)[bare]
+        raw = np.delete(ids, feeds)
+        cuts = np.append(0, ends - np.cumsum(bare))
+        return pa.Array.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(4 * cuts), pa.py_buffer(raw)])
+
+
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of large binary values without nulls."""
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return at - at[0], np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
 
 
 def _same_ranks(tok):
@@ -199,13 +247,31 @@ def place(plan: dict, length: int, rank: int) -> list[tuple[int, int, int, int]]
 TAILS = "doc_id long, doc_tokens long, crcs array<long>, tail int, tail_crc long, ids binary, salt int"
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of several batches at a time."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for b in batches:
+        held.append(b)
+        size, rows = size + b.nbytes, rows + b.num_rows
+        if size >= CHUNK_BYTES or rows >= CHUNK_ROWS:
+            yield _joined(held)
+            held, size, rows = [], 0, 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    ids = [i for b in held for i in b.column(0).to_pylist()]
+    return ids, pa.concat_arrays([b.column(1).cast(pa.large_binary()) for b in held])
+
+
 def tokenize(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, step, end, row = encoder(path), 4 * window, np.array([end_id], "<u4").tobytes(), 0
-        for b in batches:
+        for ids, texts in chunks(batches):
             rows = []
-            ids = b.column(0).to_pylist()
-            for doc_id, raw in zip(ids, enc.encode_all([t.decode() for t in utf8(b.column(1))])):
+            for doc_id, raw in zip(ids, enc.encode(texts)):
                 raw += end
                 full = len(raw) // step
                 crcs = [zlib.crc32(raw[i * step : i * step + step]) for i in range(full)]
