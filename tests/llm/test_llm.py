@@ -636,6 +636,27 @@ def test_large_lists_miss_no_pair(spark, monkeypatch, block):
     assert kept == set(want) and pairs > 500
 
 
+def test_members_of_blocks_come_one_by_one(spark, monkeypatch):
+    """No row that Python gets holds a block: a task of Spark has rows of many blocks on its heap."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    kinds = []
+    monkeypatch.setattr(simhash, "arrow_map", lambda df, fn, schema: kinds.append(df.schema.simpleString()) or common.arrow_map(df, fn, schema))
+    rnd = random.Random(29)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    origin = [word() for _ in range(200)]
+    texts = [edited(rnd, word, origin, rnd.randint(2, 6)) for _ in range(90)]
+    assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, texts)).collect()} == set(naive_groups(texts)[0])
+    assert sum("hashes:binary" in x for x in kinds) == 1 and not [x for x in kinds if "array<" in x]
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 2, 100])
+def test_block_pairs_wherever_batches_are_cut(rows_a_batch):
+    rows = [(task, 3, same, high, n) for task, same, members in [("a", True, [0, 0, 0]), ("b", False, [1, 0, 1]), ("c", False, [0, 0]), ("d", False, [1]), ("e", True, [0])] for n, high in enumerate(members)]
+    table = pa.table(dict(zip(["task", "list", "same", "high", "root"], map(list, zip(*[(t, l, s, bool(h), n) for t, l, s, h, n in rows])))))
+    got = [(number, [x["root"] for x in low], high and [x["root"] for x in high]) for number, low, high in simhash.block_pairs(iter(table.to_batches(max_chunksize=rows_a_batch)))]
+    assert got == [(3, [0, 1, 2], None), (3, [1], [0, 2]), (3, [0], None)]
+
+
 # 7 HTML
 
 

@@ -28,7 +28,8 @@ rows. Only ids and texts are read, so that further columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice, repeat
+from itertools import chain, combinations, groupby, islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -283,6 +284,19 @@ def block_links(number: int, a: list[dict], b: list[dict] | None, threshold: flo
     return out
 
 
+def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], list[dict] | None]]:
+    """(list, a block, the other block or None) for each task of the rows, which come in the order of ``task``.
+
+    One task's members are held at a time, wherever batches are cut.
+    """
+    for (_, number, same), rows in groupby(chain.from_iterable(b.to_pylist() for b in batches), itemgetter("task", "list", "same")):
+        sides: tuple[list[dict], list[dict]] = ([], [])
+        for x in rows:
+            sides[x["high"]].append(x)
+        if sides[0] and (same or sides[1]):
+            yield number, sides[0], None if same else sides[1]
+
+
 def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, fp, root) of every row, and the keys of the rows that stay: one of each group of copies.
 
@@ -334,13 +348,9 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for number, same, low, high in zip(*(b.column(i) for i in range(4))):
-                low, high = low.as_py(), high.as_py()
-                if low and (high or same.as_py()):
-                    found += block_links(number.as_py(), low, None if same.as_py() else high, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+        for number, low, high in block_pairs(batches):
+            if found := block_links(number, low, high, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(arrow_map(slim, run, f"doc_id long, key {ROW_KEY}, fp long, size long, sketch binary"))
@@ -393,11 +403,12 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = SIMILAR) -> tupl
     placed = placed.withColumn("block", F.when(F.col("mine").isNull(), block(F.lit(False), F.lit(0).cast("long"), among(F.col("rest")))).otherwise(block(F.lit(True), F.col("root"), among(F.col("mine.blocks")))))
     placed = placed.groupBy("fp").agg(F.first("root").alias("root"), F.collect_list(F.struct("at", "block")).alias("places"))
     shipped = placed.join(sketch.select("fp", "sketch"), "fp").join(sets, "fp").select(F.explode("places").alias("place"), F.struct("root", "sketch", "hashes").alias("member")).select("place.at", "place.block", "member")
-    sides = tasks.select("*", F.col("lo").alias("block")).union(tasks.where("lo <> hi").select("*", F.col("hi").alias("block")))
-    keys = ["at", "lo", "hi"]
-    met = sides.join(shipped, ["at", "block"]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    met = met.groupBy(*keys).agg(F.collect_list(F.when(F.col("block") == F.col("lo"), F.col("member"))).alias("low"), F.collect_list(F.when(F.col("block") != F.col("lo"), F.col("member"))).alias("high"))
-    met = met.select("at.list", (F.col("lo") == F.col("hi")).alias("same"), "low", "high")
+    # a task's members come one by one, in order: gathered in rows, those of many tasks would lie on the heap at once
+    name = F.concat_ws("/", "at.list", F.hex("at.key"), *(f"{side}.{x}" for side in ("lo", "hi") for x in ("own", "of", "i")))
+    tasks = tasks.select("*", name.alias("task"), (F.col("lo") == F.col("hi")).alias("same"))
+    sides = tasks.select("*", F.col("lo").alias("block"), F.lit(False).alias("high")).union(tasks.where("not same").select("*", F.col("hi").alias("block"), F.lit(True).alias("high")))
+    met = sides.join(shipped, ["at", "block"]).select("task", "at.list", "same", "high", "member.*")
+    met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
     late = components(arrow_map(met, compare, "u long, v long"), scratch)
     late = late.withColumnRenamed("root", "over")
     rooted = scratch.keep(rooted.join(late, rooted.root == late.node, "left").select("fp", "first", F.coalesce("over", "root").alias("root")))
